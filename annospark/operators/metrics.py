@@ -137,7 +137,7 @@ def average_precision(matches: DataFrame, truths: DataFrame, by: list[str], scor
     curve = bucketed.withColumn("__rn", F.count(F.lit(1)).over(inside)).withColumn("__tp", F.sum(F.col(hit).cast("int")).over(inside)).join(offset, [*by, "__b"]).select(*by, (F.col("__rn") + F.col("__on")).alias("n"), (F.col("__tp") + F.col("__oh")).alias("tp"))
     points = curve.join(truths, by).select(*by, ratio(F.col("tp"), F.col("n")).alias("precision"), F.floor(F.col("tp") * 100 / F.col("n_truth")).cast("int").alias("step")).groupBy(*by, "step").agg(F.max("precision").alias("precision"))
     # precision at a recall is the best at that recall or any higher one: at most 101 rows per group
-    steps = points.groupBy(*by).agg(F.collect_list(F.struct("step", "precision")).alias("c"))
-    at = F.transform(F.sequence(F.lit(0), F.lit(100)), lambda r: F.coalesce(F.array_max(F.transform(F.filter(F.col("c"), lambda x: x["step"] >= r), lambda x: x["precision"])), F.lit(0.0)))
+    steps = points.groupBy(*by).agg(F.collect_list(F.struct("step", "precision")).alias("__c"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(100)), lambda r: F.coalesce(F.array_max(F.transform(F.filter(F.col("__c"), lambda x: x["step"] >= r), lambda x: x["precision"])), F.lit(0.0)))
     scored = steps.select(*by, (F.aggregate(at, F.lit(0.0), lambda s, x: s + x) / 101).alias("ap"))
     return truths.select(*by, "n_truth").join(scored, by, "left").select(*by, "n_truth", F.coalesce("ap", F.lit(0.0)).alias("ap"))
