@@ -46,6 +46,8 @@ SINGLE_READ_AS = (
 ENTER, LEAVE = 6.0, 1.0
 #: Emission of a character that a state cannot produce.
 NEVER = -30.0
+#: Weight of the prior notion of clean text; small against any real corpus.
+PRIOR = 2
 #: Readings of a text that was damaged more than once.
 ROUNDS = 3
 #: Characters handled at a time in a worker, so that memory does not follow the Arrow batch.
@@ -210,7 +212,9 @@ def _emissions(ev: _Events, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             ascii_or = lambda c: np.where(c < 128, c, np.maximum(to[c], 0))
             before, after = cls[ascii_or(ev.before[ok])], cls[ascii_or(ev.after[ok])]
             ratio = logp[_key(ident[point[ok]], before, after)] - clean[ok]
-            out[row, ok] = np.where(point[ok] == ev.code[ok], np.minimum(ratio, 0), ratio)  # what stays the same is no sign of damage
+            # what stays the same, between neighbours that stay the same, is no sign of damage
+            same = (point[ok] == ev.code[ok]) & (before == cls[ev.before[ok]]) & (after == cls[ev.after[ok]])
+            out[row, ok] = np.where(same, np.minimum(ratio, 0), ratio)
         row += 1
     lost = ev.code == 0xFFFD
     out[row, lost] = -NEVER
@@ -345,7 +349,12 @@ def _prior() -> np.ndarray:
     n = np.zeros((t["size"], _CLASSES * _CLASSES))
     put = lambda chars, before, after, k: [n.__setitem__((t["ident"][ord(c)], before * _CLASSES + after), k) for c in chars]
     put("éèàáíóúñüöäçêâôîû", 1, 1, 3)
-    put("ßé", 1, 0, 1)
+    put("éèàáíóúßä", 1, 0, 1)
+    put("éàáíóúñüöä", 0, 1, 1)
+    put("ÉÁÖÜÄ", 0, 1, 0.3)
+    put("°±µ§£€×", 0, 0, 0.3)
+    put("°±µ§£€×", 0, 3, 0.3)
+    put("°µ", 0, 2, 0.3)
     for a, b in ((7, 7), (0, 7), (7, 0)):
         put("абвгдежзийклмнопрстуфхцчшщыьэюяё", a, b, 3)
     put("АБВГДЕЖЗИКЛМНОПРСТУ", 0, 7, 1)
@@ -353,7 +362,7 @@ def _prior() -> np.ndarray:
     put("“‘«", 0, 2, 3)
     put("”’»", 1, 0, 3)
     put("–—", 0, 0, 3)
-    return n
+    return n * PRIOR
 
 
 FOUND = "doc_id long, n_spans int, encodings array<string>, restored string, complete boolean"
