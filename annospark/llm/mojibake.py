@@ -44,6 +44,8 @@ SINGLE_READ_AS = (
 )
 #: Costs, in nats, of entering and leaving a damaged state.
 ENTER, LEAVE = 6.0, 1.0
+#: Further cost of entering or leaving between two characters that touch; damage begins and ends at gaps.
+TOUCHING = 8.0
 #: Emission of a character that a state cannot produce.
 NEVER = -30.0
 #: Weight of the prior notion of clean text; small against any real corpus.
@@ -221,7 +223,7 @@ def _emissions(ev: _Events, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, inside
 
 
-def _viterbi(scores: np.ndarray, inside: np.ndarray, enter: float, leaving: float) -> np.ndarray:
+def _viterbi(scores: np.ndarray, inside: np.ndarray, joined: np.ndarray, enter: float, leaving: float) -> np.ndarray:
     """Best state of each event (-1 clean), for one text; scores are ratios against clean."""
     live = np.flatnonzero(np.maximum(scores, 0).sum(1) > enter)
     n, size = scores.shape[1], len(live)
@@ -231,12 +233,12 @@ def _viterbi(scores: np.ndarray, inside: np.ndarray, enter: float, leaving: floa
     never = float("-inf")
     clean, best = 0.0, [never] * size
     came_from, stayed = [], []
-    for score, held in zip(scores[live].T.tolist(), inside[live].T.tolist(), strict=True):
+    for score, held, touch in zip(scores[live].T.tolist(), inside[live].T.tolist(), (joined * TOUCHING).tolist(), strict=True):
         top = max(range(size), key=lambda k: never if held[k] else best[k])  # noqa: B023
-        leave = never if held[top] else best[top] - leaving
+        leave = never if held[top] else best[top] - leaving - touch
         came_from.append(top if leave > clean else -1)
         clean = max(clean, leave)
-        entered = clean - enter
+        entered = clean - enter - touch
         stay = [h or b >= entered for h, b in zip(held, best, strict=True)]
         best = [(b if k else entered) + s for b, k, s in zip(best, stay, score, strict=True)]
         stayed.append(stay)
@@ -262,7 +264,7 @@ def _paths(ev: _Events, logp: np.ndarray, costs: tuple[float, float]) -> np.ndar
     hi = np.concatenate([bounds, [n]])
     gains = np.add.reduceat(np.maximum(scores, 0), lo, axis=1).max(0)
     for a, b in zip(lo[gains > costs[0]], hi[gains > costs[0]], strict=True):
-        path[a:b] = _viterbi(scores[:, a:b], inside[:, a:b], *costs)
+        path[a:b] = _viterbi(scores[:, a:b], inside[:, a:b], ev.prev_joined[a:b], *costs)
     return path
 
 
