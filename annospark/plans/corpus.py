@@ -176,4 +176,8 @@ SQL = {
     "class_synonyms": "with w_ as (select category_id, array_to_string(list_filter(list_concat([cat_name], coalesce(synonyms, [])), lambda x: x is not null), ', ') as w from categories), n_ as (select category_id, regexp_replace(unnest(string_split(w, ',')), '^ +| +$', '', 'g') as name from w_) select category_id, count(*) as n, min(name) as first_name from n_ where name <> '' group by 1",
     "round_order": """with s_ as (select sample_id, any_value(conversations) as c from samples group by 1)
         select sample_id, len(c) as n_turns, least(len(c), cast('0x' || substring(md5('43:' || sample_id), 1, 8) as bigint) % 3 + 1) as n_kept from s_""",
+    "interleave_probability": f"""with {X.IMAGES}, p_ as (select split, image_id, row_number() over (partition by split order by md5('42:' || image_id), image_id) - 1 as pos, count(*) over (partition by split) as n from images_ where split is not null),
+        t_ as (select turn, cast(cast('0x' || substring(md5('42:' || turn), 1, 12) as bigint) as double) / cast(281474976710656 as double) as u from (select unnest(range(0, 10000)) as turn)),
+        d_ as (select turn, case when u < cast(0.1 as double) then 'test' when u < cast(0.7 as double) then 'train' else 'val' end as split from t_), r_ as (select turn, split, row_number() over (partition by split order by turn) - 1 as r from d_)
+        select r_.turn, p_.split, p_.image_id from r_ join p_ on r_.split = p_.split and p_.pos = r_.r % p_.n""",
 }

@@ -190,3 +190,16 @@ SQL = {
         q_ as (select sample_id, round_idx, unnest(range(1, len(ps) + 1)) as i, ps from p_)
         select sample_id, round_idx, cast(i - 1 as int) as pos, nullif(regexp_extract(ps[i], '(?s)<Phrase>(.*?)</Phrase>', 1), '') as phrase, nullif(regexp_extract(ps[i], '(?s)<Unit>(.*?)</Unit>', 1), '') as unit, (len(ps[i]) - len(replace(ps[i], '<REF>', ''))) // 5 as n from q_""",
 }
+
+_ENCODED = f"""with {_ROUNDS}, e_ as (select *, system_tasks[round_idx + 1] as st from rounds_), y_ as (select *, {_SYSTEM} as sys from e_),
+  x_ as (select sample_id, round_idx, case when round_idx = 0 then $${TASK_COMMAND["prefix"]}$$ else '' end || case when coalesce(sys, '') <> '' then sys || chr(10) else '' end || 'USER: ' || replace(input, '<boxes>', '[VPT]') || ' ASSISTANT:' as q, case when output = '' then '' else {_REFERENCED} end as a from y_),
+  w_ as (select sample_id, round_idx, list_filter(string_split_regex(regexp_replace(q, '(<image>|\\[VPT\\]|</?[A-Za-z]+>)', ' \\1 ', 'g'), '\\s+'), lambda z: z <> '') as q, list_filter(string_split_regex(regexp_replace(a, '(<image>|\\[VPT\\]|</?[A-Za-z]+>)', ' \\1 ', 'g'), '\\s+'), lambda z: z <> '') as a from x_),
+  i_ as (select sample_id, round_idx, list_transform(q, lambda z: case when z = '<image>' then -200 when z = '[VPT]' then -300 else cast('0x' || substring(md5(z), 1, 6) as bigint) % 30000 + 1000 end) as q, list_transform(a, lambda z: case when z = '<image>' then -200 when z = '[VPT]' then -300 else cast('0x' || substring(md5(z), 1, 6) as bigint) % 30000 + 1000 end) as a from w_),
+  f_ as (select sample_id, flatten(list(list_concat([1], q, a, [2]) order by round_idx)) as ids, flatten(list(list_concat(list_transform(list_concat([1], q), lambda z: -100), a, [2]) order by round_idx)) as labels from i_ group by sample_id),
+  all_ as (select s_.sample_id, list_slice(coalesce(f_.ids, []), 1, 2048) as ids, list_slice(coalesce(f_.labels, []), 1, 2048) as labels from s_ left join f_ on s_.sample_id = f_.sample_id where s_.conversations is not null)"""
+SQL["token_encode_labels"] = f"""{_ENCODED} select sample_id, cast(len(ids) as int) as n_ids, cast(coalesce(list_sum(ids), 0) as bigint) as sum_ids, cast(len(list_filter(labels, lambda z: z <> -100)) as int) as n_learned, cast(coalesce(list_sum(list_filter(labels, lambda z: z <> -100)), 0) as bigint) as sum_learned,
+  cast(case when len(list_filter(labels, lambda z: z <> -100)) = 0 then len(ids) else list_position(list_transform(labels, lambda z: z <> -100), true) - 1 end as int) as n_prompt from all_"""
+SQL["feature_splice"] = f"""{_ENCODED} select sample_id, cast(len(ids) as int) as n_before, cast(len(ids) + 575 * len(list_filter(ids, lambda z: z = -200)) as int) as n_after, cast(576 * len(list_filter(ids, lambda z: z = -200)) as int) as n_image from all_"""
+SQL["label_trim"] = f"""with {_ROUNDS}, p_ as (select sample_id, round_idx, list_transform(regexp_extract_all(output, '(?s)(?:<Phrase>.*?</Phrase>[^<]*)?(?:<Unit>.*?</Unit>[^<]*)?<REF>(?:[^<]*<REF>)*', 0), lambda z: (len(z) - len(replace(z, '<REF>', ''))) // 5) as ns from rounds_ where contains(output, '<REF>')),
+  l_ as (select *, cast(ceil(list_sum(ns) * 2 / 3) as int) as n_left from p_)
+  select sample_id, round_idx, array_to_string(list_filter(list_transform(range(1, len(ns) + 1), lambda k: greatest(0, least(ns[k], n_left - coalesce(list_sum(list_slice(ns, 1, k - 1)), 0)))), lambda z: z > 0), ',') as kept, n_left from l_"""

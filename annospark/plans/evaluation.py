@@ -238,3 +238,12 @@ SQL = {
         p_ as (select category_id, any_value(n_truth) as n_truth, list(struct_pack(p := tp / n, s := floor(tp * 100 / n_truth))) as c from r_ group by 1)
         select category_id, n_truth, {_R("list_sum(list_transform(range(0, 101), lambda q: coalesce(list_max(list_transform(list_filter(c, lambda z: z.s >= q), lambda z: z.p)), 0))) / 101", 6)} as ap from p_""",
 }
+SQL["cider_scores"] = f"""{_ANSWERS}, w_ as (select sample_id || '#' || round_idx as k, {_WORDS.format('pred')} as p, {_WORDS.format('target')} as t from a_ where pred is not null),
+  g_ as (select k, 'p' as s, 1 as n, unnest(p) as g from w_ union all select k, 't', 1, unnest(t) from w_ union all select k, 'p', 2, unnest(list_transform(range(1, len(p)), lambda i: p[i] || ' ' || p[i + 1])) from w_ union all select k, 't', 2, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) from w_),
+  c_ as (select k, n, g, count_if(s = 'p') as cp, count_if(s = 't') as ct from g_ group by 1, 2, 3), f_ as (select n, g, count(*) as df from c_ where ct > 0 group by 1, 2), i_ as (select c_.*, ln((select count(*) from w_) / greatest(coalesce(df, 0), 1)) as idf from c_ left join f_ on c_.n = f_.n and c_.g = f_.g),
+  v_ as (select k, n, sum(least(cp, ct) * ct * idf * idf) as dot, sqrt(sum(pow(cp * idf, 2))) as np, sqrt(sum(pow(ct * idf, 2))) as nt from i_ group by 1, 2), s_c as (select k, sum(coalesce(dot / nullif(np * nt, 0), 0)) / 2 * 10 as s from v_ group by 1),
+  r_ as (select coalesce(s, 0) * exp(-pow(len(p) - len(t), 2) / cast(72 as double)) as c from w_ left join s_c on w_.k = s_c.k)
+  select count(*) as n, {_R("avg(c)", 5)} as mean, {_R("max(c)", 4)} as most from r_"""
+SQL["point_masks"] = f"""with {X.BOXES}, q_ as (select ann_id, cast(floor(w / 10) as int) as mw, cast(floor(h / 10) as int) as mh, cast(floor((x1 + x2) / 2 / 10) as int) as cx, cast(floor((y1 + y2) / 2 / 10) as int) as cy from boxes_),
+  d_ as (select *, unnest(range(-4, 5)) as dx from q_), n_ as (select ann_id, case when cx + dx >= 0 and cx + dx < mw then greatest(least(cy + floor(sqrt(16 - dx * dx)) + 1, mh) - greatest(cy - floor(sqrt(16 - dx * dx)), 0), 0) else 0 end as n from d_)
+  select ann_id, cast(sum(n) as int) as n_pixels, cast(sum(n) as int) as n_square from n_ group by ann_id"""
