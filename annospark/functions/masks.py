@@ -48,9 +48,11 @@ def box_mask(box: Column, w: Column, h: Column) -> Column:
     def body(c: Column) -> Column:
         x1, y1, x2, y2 = (F.get(c, F.lit(i)) for i in range(4))
         wide, high = F.greatest(x2 - x1, F.lit(0)), F.greatest(y2 - y1, F.lit(0))
-        run = lambda v, n: F.struct(F.lit(v).alias("v"), n.cast("int").alias("n"))
-        columns = F.flatten(F.array_repeat(F.array(run(0, y1), run(1, high), run(0, h - y1 - high)), wide))
-        return F.when((wide == 0) | (high == 0), F.array(w * h)).otherwise(merged_runs(F.concat(F.array(run(0, x1 * h)), columns, F.array(run(0, (w - x1 - wide) * h)))))
+        whole = high == h
+        first = F.when(whole, x1 * h).otherwise(x1 * h + y1)
+        ones = F.when(whole, F.array(wide * h)).otherwise(F.concat(F.array(high), F.flatten(F.array_repeat(F.array(h - high, high), wide - 1))))
+        tail = w * h - first - F.when(whole, wide * h).otherwise((wide - 1) * h + high)
+        return F.when((wide == 0) | (high == 0), F.array(w * h)).otherwise(F.concat(F.array(first), ones, F.when(tail > 0, F.array(tail)).otherwise(F.array().cast("array<int>"))))
 
     return _mask(h, w, let(corners, body))
 

@@ -42,9 +42,8 @@ def subset(df: DataFrame, key: str, portion: float, seed: int = 42) -> DataFrame
     """The first ``int(n * portion)`` rows in hash order (L1); 0 < portion <= 1."""
     if not 0 < portion <= 1:
         raise ValueError("portion must be in (0, 1]")
-    total = df.agg(F.count(F.lit(1)).alias("__total"))
-    ranked = hash_rank(df, key, seed)
-    return ranked.join(F.broadcast(total)).where(F.col("rank") < F.floor(F.col("__total") * portion)).drop("rank", "__total")
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return hash_rank(df, key, seed).where(F.col("rank") < F.floor(total * portion)).drop("rank")
 
 
 def concatenated(corpora: dict[str, DataFrame]) -> DataFrame:
@@ -64,8 +63,8 @@ def shuffled_portion(df: DataFrame, key: str, portion: float, seed: int = 42) ->
     if copies < 1:
         raise ValueError("portion must be positive")
     many = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumn("__key", F.concat_ws("#", F.col(key).cast("string"), F.col("copy").cast("string")))
-    total = df.agg(F.count(F.lit(1)).alias("__total"))
-    return hash_rank(many, "__key", seed).join(F.broadcast(total)).where(F.col("rank") < F.floor(F.col("__total") * portion)).drop("__key", "__total")
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return hash_rank(many, "__key", seed).where(F.col("rank") < F.floor(total * portion)).drop("__key")
 
 
 def interleaved(df: DataFrame, corpus: str, pos: str, all_exhausted: bool = False) -> DataFrame:
@@ -77,7 +76,7 @@ def interleaved(df: DataFrame, corpus: str, pos: str, all_exhausted: bool = Fals
     lengths = df.groupBy(corpus).agg((F.max(pos) + 1).alias("__n"))
     # the number of corpora is that of the configuration; their lengths are one small row
     names = lengths.agg(F.sort_array(F.collect_list(F.struct(F.col(corpus).alias("c"), F.col("__n").alias("n")))).alias("__all"))
-    wide = df.join(F.broadcast(names)).withColumn("__k", F.size("__all")).withColumn("__i", F.array_position(F.transform("__all", lambda x: x["c"]), F.col(corpus)) - 1)
+    wide = df.withColumn("__all", names.scalar()).withColumn("__k", F.size("__all")).withColumn("__i", F.array_position(F.transform("__all", lambda x: x["c"]), F.col(corpus)) - 1)
     if not all_exhausted:
         shortest = F.array_min(F.transform("__all", lambda x: x["n"]))
         return wide.where(F.col(pos) < shortest).withColumn("turn", F.col(pos).cast("long")).withColumn("out_pos", F.col("turn") * F.col("__k") + F.col("__i")).drop("__all", "__k", "__i")
@@ -107,7 +106,7 @@ def interleaved_by_probability(df: DataFrame, corpus: str, pos: str, probabiliti
     offset = sizes.select(F.col("__c").alias("__c2"), F.col("__b").alias("__b2"), F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__off"))
     numbered = drawn.withColumn("__rn", F.row_number().over(Window.partitionBy("__c", "__b").orderBy("turn")) - 1).join(offset, (F.col("__c") == F.col("__c2")) & (F.col("__b") == F.col("__b2")))
     lengths = df.groupBy(F.col(corpus).alias("__c3")).agg((F.max(pos) + 1).alias("__n"))
-    at = numbered.join(F.broadcast(lengths), F.col("__c") == F.col("__c3")).select("turn", "__c", F.pmod(F.col("__rn") + F.col("__off"), F.col("__n")).alias("__p"))
+    at = numbered.join((lengths), F.col("__c") == F.col("__c3")).select("turn", "__c", F.pmod(F.col("__rn") + F.col("__off"), F.col("__n")).alias("__p"))
     return df.join(at, (F.col(corpus) == F.col("__c")) & (F.col(pos) == F.col("__p"))).drop("__c", "__p")
 
 

@@ -93,8 +93,8 @@ def cider(df: DataFrame, key: str, pred: str, target: str, n: int = 4) -> DataFr
             grams = one if grams is None else grams.unionByName(one)
     tf = grams.groupBy("k", "n", "g").agg(F.count_if(F.col("side") == "p").alias("cp"), F.count_if(F.col("side") == "t").alias("ct"))
     df_counts = tf.where("ct > 0").groupBy("n", "g").agg(F.count(F.lit(1)).alias("df"))
-    total = base.agg(F.count(F.lit(1)).alias("total"))
-    weighted = tf.join(df_counts, ["n", "g"], "left").join(F.broadcast(total)).withColumn("idf", F.log(F.col("total").cast("double") / F.greatest(F.coalesce("df", F.lit(0)), F.lit(1))))
+    total = base.agg(F.count(F.lit(1))).scalar()
+    weighted = tf.join(df_counts, ["n", "g"], "left").withColumn("idf", F.log(total.cast("double") / F.greatest(F.coalesce("df", F.lit(0)), F.lit(1))))
     per = weighted.groupBy("k", "n").agg(F.sum(F.least("cp", "ct") * F.col("ct") * F.col("idf") * F.col("idf")).alias("dot"), F.sqrt(F.sum(F.pow(F.col("cp") * F.col("idf"), 2))).alias("np"), F.sqrt(F.sum(F.pow(F.col("ct") * F.col("idf"), 2))).alias("nt"))
     scored = per.groupBy("k").agg((F.sum(F.coalesce(F.try_divide(F.col("dot"), F.col("np") * F.col("nt")), F.lit(0.0))) / n * 10).alias("s"))
     lengths = base.select("k", F.exp(-F.pow((F.size("p") - F.size("t")).cast("double"), 2) / 72.0).alias("pen"))

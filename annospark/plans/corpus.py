@@ -80,7 +80,7 @@ def coco_index_join(spark: SparkSession, d: str) -> DataFrame:
 
 def detection_caption(spark: SparkSession, d: str) -> DataFrame:
     """AG27, P7, Z8: caption of each image's boxes grouped by category."""
-    b = X.boxes(spark, d).join(F.broadcast(_categories(spark, d).where("cat_name is not null").select("category_id", F.lower(F.trim("cat_name")).alias("label"))), "category_id")
+    b = X.boxes(spark, d).join((_categories(spark, d).where("cat_name is not null").select("category_id", F.lower(F.trim("cat_name")).alias("label"))), "category_id")
     numbered = salted_rank(b.select("image_id", "ann_id", "label"), ["image_id"], [F.col("ann_id")], "r", salts=1)
     return J.detection_captions(numbered.select("image_id", "label", F.col("r").cast("int").alias("pos")), "image_id", "label", "pos").select("image_id", "caption", F.size("seq").alias("n_classes"))
 
@@ -103,7 +103,7 @@ def substring_theta_join(spark: SparkSession, d: str) -> DataFrame:
     """The first category whose name occurs in an evaluation question; the names are one small row."""
     names = _categories(spark, d).where("cat_name is not null").agg(F.transform(F.sort_array(F.collect_list(F.struct("category_id", F.lower(F.trim("cat_name")).alias("n")))), lambda x: x["n"]).alias("names"))
     items = table(spark, d, "eval_items", "item_id", "question").dropDuplicates(["item_id"])
-    return items.join(F.broadcast(names)).select("item_id", J.first_contained(F.lower("question"), F.col("names")).alias("cat_name"))
+    return items.withColumn("names", names.scalar()).select("item_id", J.first_contained(F.lower("question"), F.col("names")).alias("cat_name"))
 
 
 def key_intersection(spark: SparkSession, d: str) -> DataFrame:

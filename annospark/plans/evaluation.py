@@ -172,7 +172,7 @@ def det_argmax_class(spark: SparkSession, d: str) -> DataFrame:
     centres = rows.where("label is not null").select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x")).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c"))
     all_centres = centres.agg(F.sort_array(F.collect_list(F.struct("label", "c"))).alias("cs"))
     best = F.transform("cs", lambda s: F.struct((-G.rounded(T.cosine(F.col("v"), s["c"]), 6)).alias("s"), s["label"].alias("label")))
-    return rows.join(F.broadcast(all_centres)).select("id", F.array_min(best).alias("m")).select("id", F.col("m.label").alias("label"), (-F.col("m.s")).alias("sim"))
+    return rows.withColumn("cs", all_centres.scalar()).select("id", F.array_min(best).alias("m")).select("id", F.col("m.label").alias("label"), (-F.col("m.s")).alias("sim"))
 
 
 def moving_scores(spark: SparkSession, d: str) -> DataFrame:

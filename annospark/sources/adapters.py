@@ -409,7 +409,7 @@ def detection(annotations: DataFrame, images: DataFrame, categories: DataFrame,
 
     _one_of(unit, ("box", "mask"))
     place, value = (BOXES, G.xywh_to_xyxy(F.col("bbox"))) if unit == "box" else (MASKS, F.col("mask"))
-    named = annotations.join(F.broadcast(categories.select(F.col("id").alias("category_id"), F.col("name").alias("label"))), "category_id")
+    named = annotations.join((categories.select(F.col("id").alias("category_id"), F.col("name").alias("label"))), "category_id")
     if most:
         named = K.sampled_per_group(named, "image_id", "id", most)
     ranked = salted_rank(named.withColumn("value", value), ["image_id"], [F.col("id")], "pos", salts=1).withColumn("pos", F.col("pos").cast("int"))
@@ -425,7 +425,7 @@ def detection(annotations: DataFrame, images: DataFrame, categories: DataFrame,
 def conditional(annotations: DataFrame, images: DataFrame, categories: DataFrame, templates: list[str], unit: str = "box", source: str = "conditional") -> DataFrame:
     """One record per picture and class; the question names the class."""
     place, value = (BOXES, G.xywh_to_xyxy(F.col("bbox"))) if unit == "box" else (MASKS, F.col("mask"))
-    named = annotations.join(F.broadcast(categories.select(F.col("id").alias("category_id"), F.col("name").alias("label"))), "category_id")
+    named = annotations.join((categories.select(F.col("id").alias("category_id"), F.col("name").alias("label"))), "category_id")
     rows = named.groupBy("image_id", "label").agg(F.transform(F.sort_array(F.collect_list(F.struct("id", value.alias("v")))), lambda x: x["v"]).alias("values")).join(images.select(F.col("id").alias("image_id"), "file_name", "width", "height"), "image_id").withColumn("key", F.concat_ws("#", "image_id", "label"))
     groups = F.array(F.sequence(F.lit(0), F.size("values") - 1))
     text = F.concat(F.lit(PHRASE_START), "label", F.lit(PHRASE_END), F.repeat(F.lit(place), F.size("values")), F.lit("."))
@@ -443,7 +443,7 @@ def lvis_test(images: DataFrame, templates: list[str], source: str = "lvis_test"
 @adapter("label_images", "pascal", "pascal59", "pascal459", "cityscapes_semantic")
 def label_images(labels: DataFrame, classes: DataFrame, templates: list[str], source: str = "label_images") -> DataFrame:
     """Labels (``path``, ``label``, ``mask``), classes (``class_id``, ``names``): one phrase per class present."""
-    rows = labels.join(F.broadcast(classes.select(F.col("class_id").alias("label"), F.get("names", F.lit(0)).alias("name"))), "label").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("label", "name", "mask"))).alias("l")).withColumn("key", F.col("path"))
+    rows = labels.join((classes.select(F.col("class_id").alias("label"), F.get("names", F.lit(0)).alias("name"))), "label").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("label", "name", "mask"))).alias("l")).withColumn("key", F.col("path"))
     text = F.concat(F.array_join(F.transform("l", lambda x: F.concat(F.lit(PHRASE_START), x["name"], F.lit(PHRASE_END + MASKS))), ","), F.lit("."))
     groups = F.transform(F.sequence(F.lit(0), F.size("l") - 1), lambda i: F.array(i))
     return record(rows, source, F.col("path"), [turn("human", question(templates, F.col("key"))), turn("gpt", text, masks=groups)], [task("segmentation", "phrase", unit="mask")], target(masks=F.transform("l", lambda x: x["mask"])))
@@ -452,7 +452,7 @@ def label_images(labels: DataFrame, classes: DataFrame, templates: list[str], so
 @adapter("cityscapes_instance")
 def cityscapes_instance(segments: DataFrame, classes: DataFrame, templates: list[str], source: str = "cityscapes") -> DataFrame:
     """Segments (``path``, ``segment``, ``mask``); instances are numbered from 1000, their class is the thousands."""
-    rows = segments.where("segment >= 1000").withColumn("class_id", F.floor(F.col("segment") / 1000).cast("int")).join(F.broadcast(classes.select("class_id", F.get("names", F.lit(0)).alias("label"))), "class_id")
+    rows = segments.where("segment >= 1000").withColumn("class_id", F.floor(F.col("segment") / 1000).cast("int")).join((classes.select("class_id", F.get("names", F.lit(0)).alias("label"))), "class_id")
     named = rows.select(F.col("segment").cast("bigint").alias("id"), F.col("path").alias("image_id"), F.col("class_id").alias("category_id"), "mask")
     images = segments.select(F.col("path").alias("id")).distinct().select("id", F.col("id").alias("file_name"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"))
     return detection(named, images, classes.select(F.col("class_id").alias("id"), F.get("names", F.lit(0)).alias("name")), templates, "mask", source=source)
