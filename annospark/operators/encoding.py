@@ -104,15 +104,15 @@ def non_negative(ids: Column) -> Column:
     return F.transform(ids, lambda x: F.when(x < 0, F.lit(PAD)).otherwise(x))
 
 
-def padded_batches(df: DataFrame, order: list[Column], size: int, ids: str = "ids", labels: str = "labels") -> DataFrame:
-    """Rows in batches of ``size``, padded to the longest of each (B3): ids with 0, labels with -100, attention mask, positions.
+def padded_batches(df: DataFrame, key: str, size: int, ids: str = "ids", labels: str = "labels", seed: int = 42) -> DataFrame:
+    """Rows in shuffled batches of ``size``, padded to the longest of each (B3): ids with 0, labels with -100, attention mask, positions.
 
-    Rows are numbered without a global sort of whole rows in one task: in salted
-    buckets of a hash of ``order``; the batches are as random as that hash.
+    The order is that of the key's hash; rows are numbered in ranges of it, so no
+    task sorts them all.
     """
-    from ..runtime import salted_rank
+    from .corpora import hash_rank
 
-    ranked = salted_rank(df.withColumn("__all", F.lit(0)), ["__all"], order, "__pos").drop("__all").withColumn("batch_id", F.floor(F.col("__pos") / size))
+    ranked = hash_rank(df, key, seed, name="__pos").withColumn("batch_id", F.floor(F.col("__pos") / size))
     longest = F.max(F.size(ids)).over(Window.partitionBy("batch_id"))
     wide = ranked.withColumn("__n", F.size(ids)).withColumn("__m", longest)
     fill = F.col("__m") - F.col("__n")

@@ -111,7 +111,7 @@ def token_encode_labels(spark: SparkSession, d: str) -> DataFrame:
 
 def batch_padding(spark: SparkSession, d: str) -> DataFrame:
     """Rows of padded batches; every batch is as long as its longest row."""
-    b = E.padded_batches(_encoded(spark, d).select("sample_id", "ids", "labels"), [F.xxhash64("sample_id"), F.col("sample_id")], 16)
+    b = E.padded_batches(_encoded(spark, d).select("sample_id", "ids", "labels").where("ids is not null"), "sample_id", 16)
     live = F.aggregate("attention", F.lit(0), lambda s, x: s + x)
     return b.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.size("ids")).alias("width"), F.min(F.size("labels")).alias("label_width"), F.sum(live).alias("n_tokens"), F.max(live).alias("longest"))
 
@@ -203,3 +203,8 @@ SQL["feature_splice"] = f"""{_ENCODED} select sample_id, cast(len(ids) as int) a
 SQL["label_trim"] = f"""with {_ROUNDS}, p_ as (select sample_id, round_idx, list_transform(regexp_extract_all(output, '(?s)(?:<Phrase>.*?</Phrase>[^<]*)?(?:<Unit>.*?</Unit>[^<]*)?<REF>(?:[^<]*<REF>)*', 0), lambda z: (len(z) - len(replace(z, '<REF>', ''))) // 5) as ns from rounds_ where contains(output, '<REF>')),
   l_ as (select *, cast(ceil(list_sum(ns) * 2 / 3) as int) as n_left from p_)
   select sample_id, round_idx, array_to_string(list_filter(list_transform(range(1, len(ns) + 1), lambda k: greatest(0, least(ns[k], n_left - coalesce(list_sum(list_slice(ns, 1, k - 1)), 0)))), lambda z: z > 0), ',') as kept, n_left from l_"""
+SQL["batch_padding"] = f"""{_ENCODED}, r_ as (select len(ids) as n, floor((row_number() over (order by md5('42:' || sample_id), sample_id) - 1) / 16) as batch_id from all_)
+  select cast(batch_id as bigint) as batch_id, count(*) as n_rows, cast(max(n) as int) as width, cast(max(n) as int) as label_width, cast(sum(n) as bigint) as n_tokens, cast(max(n) as int) as longest from r_ group by 1"""
+SQL["session_history"] = f"""with recursive {_TURNS}, l_ as (select sample_id as session, turn_idx as pos, len(coalesce(value, '')) as n from turns_),
+  h_ as (select session, pos, n as used, 0 as resets from l_ where pos = 0 union all select l_.session, l_.pos, case when h_.used + l_.n > 300 then l_.n else h_.used + l_.n end, case when h_.used + l_.n > 300 and h_.used > 0 then h_.resets + 1 else h_.resets end from h_ join l_ on l_.session = h_.session and l_.pos = h_.pos + 1)
+  select session, pos, cast(used as bigint) as used, cast(resets as int) as resets from h_"""

@@ -55,8 +55,7 @@ def p4_sharing(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_objects, p4_links, p4_records, p4_turns, p4_task_entries, p4_units, p4_sharing)}
 
-SQL = {
-    "p4_found": """with r_ as (select raw_id, payload from (select *, row_number() over (partition by raw_id order by loaded_at) as rn_ from raw_records) where rn_ = 1),
+_UNITS = """with r_ as (select raw_id, payload from (select *, row_number() over (partition by raw_id order by loaded_at) as rn_ from raw_records) where rn_ = 1),
         o_ as (select raw_id, cast(payload as json) as j from r_ where json_valid(payload) and json_type(payload) = 'OBJECT'),
         c_ as (select raw_id, json_extract(j, '$.conversations') as c from o_), i_ as (select raw_id, c, cast(unnest(range(0, case when json_type(c) = 'ARRAY' then cast(json_array_length(c) as bigint) else 0 end)) as int) as turn_idx from c_),
         t_ as (select raw_id, turn_idx, json_extract(c, '$[' || turn_idx || ']') as t from i_ union all select raw_id, 0, c from c_ where json_type(c) = 'OBJECT'),
@@ -64,6 +63,10 @@ SQL = {
         n_ as (select raw_id, turn_idx, v, cast(unnest(range(0, case when json_type(v) = 'ARRAY' then cast(json_array_length(v) as bigint) else 0 end)) as int) as task_idx from s_),
         e_ as (select raw_id, turn_idx, task_idx, json_extract(v, '$[' || task_idx || ']') as e from n_ union all select raw_id, turn_idx, 0, v from s_ where json_type(v) = 'OBJECT' union all select raw_id, turn_idx, 0, t from s_),
         k_ as (select raw_id, turn_idx, task_idx, json_extract(e, '$.unit') as u from e_ where json_type(e) = 'OBJECT' and (json_exists(e, '$.task') or json_exists(e, '$.unit'))),
-        u_ as (select raw_id, turn_idx, task_idx, case when json_type(u) = 'ARRAY' then list_filter(range(0, cast(json_array_length(u) as bigint)), lambda x: json_type(u, '$[' || x || ']') <> 'NULL') when u is null or json_type(u) = 'NULL' then [] else [0] end as p from k_)
-        select raw_id, turn_idx, task_idx, cast(unnest(case when len(p) = 0 then [-1] else p end) as int) as unit_idx from u_""",
+        u_ as (select raw_id, turn_idx, task_idx, case when json_type(u) = 'ARRAY' then list_filter(range(0, cast(json_array_length(u) as bigint)), lambda x: json_type(u, '$[' || x || ']') <> 'NULL') when u is null or json_type(u) = 'NULL' then [] else [0] end as p, u from k_),
+        f_ as (select raw_id, turn_idx, task_idx, u, cast(unnest(case when len(p) = 0 then [-1] else p end) as int) as unit_idx from u_)"""
+
+SQL = {
+    "p4_found": f"{_UNITS} select raw_id, turn_idx, task_idx, unit_idx from f_",
+    "p4_units": f"{_UNITS} select raw_id, turn_idx, task_idx, unit_idx, case when unit_idx < 0 then null when json_type(u) = 'ARRAY' then json_extract_string(u, '$[' || unit_idx || ']') else json_extract_string(u, '$') end as unit from f_",
 }

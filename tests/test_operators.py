@@ -126,7 +126,7 @@ def test_shuffled_rounds_keep_entries_aligned(spark):
 
 def test_batches(spark):
     df = spark.createDataFrame([(i, list(range(i % 7))) for i in range(50)], "k int, ids array<int>").withColumn("labels", F.col("ids"))
-    rows = E.padded_batches(df, [F.col("k")], 8).collect()
+    rows = E.padded_batches(df, "k", 8).collect()
     by = {}
     for r in rows:
         by.setdefault(r.batch_id, []).append(r)
