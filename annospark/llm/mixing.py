@@ -144,8 +144,8 @@ def memberships(labelled: DataFrame, model: TaskModel) -> DataFrame:
 class Mix:
     """Targets of one mix, and the state of its fit: one multiplier per domain."""
 
-    def __init__(self, name: str, kind: str, domains: list[str], shares: list[float], repeats: list[int]):
-        self.name, self.kind, self.domains = name, kind, domains
+    def __init__(self, name: str, kind: str, domains: list[str], listed: list[str], shares: list[float], repeats: list[int]):
+        self.name, self.kind, self.domains, self.listed = name, kind, domains, listed
         self.share, self.cap = np.array(shares), np.array(repeats, float)
         self.pull = np.zeros(len(domains))
 
@@ -156,7 +156,7 @@ class Mix:
 
 def read_mixes(targets: DataFrame) -> list[Mix]:
     """Mixes of the target table, which has a fixed, small number of rows."""
-    tidy = targets.select("mix_name", F.col("source"), normal_task(F.col("task_name")).alias("task"), F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("share"), F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).alias("repeats"))
+    tidy = targets.select("mix_name", F.col("source"), normal_task(F.col("task_name")).alias("task"), F.coalesce("source", "task_name").alias("listed"), F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("share"), F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).alias("repeats"))
     by: dict[str, list] = {}
     for r in tidy.where("mix_name is not null and (source is not null or task is not null)").toLocalIterator():
         by.setdefault(r["mix_name"], []).append(r)
@@ -168,7 +168,7 @@ def read_mixes(targets: DataFrame) -> list[Mix]:
             if r[kind] is not None:
                 of.setdefault(r[kind], []).append(r)
         names = sorted(of)
-        out.append(Mix(name, kind, names, [sum(r["share"] for r in of[d]) for d in names], [max(int(r["repeats"]) for r in of[d]) for d in names]))
+        out.append(Mix(name, kind, names, [min(r["listed"] for r in of[d]) for d in names], [sum(r["share"] for r in of[d]) for d in names], [max(int(r["repeats"]) for r in of[d]) for d in names]))
     return out
 
 
@@ -258,7 +258,8 @@ _PLAN = "mix_name string, sample_id long, domain string, rate double, repeats in
 def mix_sources(samples: DataFrame, targets: DataFrame, total: dict[str, float] | None = None, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
     """The plan (how often each sample is taken, zero left out) and the report per mix and domain.
 
-    Plan: ``mix_name``, ``sample_id``, ``domain`` (the likeliest listed one),
+    Plan: ``mix_name``, ``sample_id``, ``domain`` (the likeliest listed one, as the
+    target table writes it),
     ``rate``, ``repeats``. Report: target and actual shares, records available,
     records taken and the most repeats of one sample.
     """
@@ -279,7 +280,7 @@ def mix_sources(samples: DataFrame, targets: DataFrame, total: dict[str, float]
                 rate = m.rate(p, cap)
                 listed = p.max(1) > 0
                 top = p.argmax(1)
-                yield pd.DataFrame({"mix_name": m.name, "sample_id": mine["sample_id"].to_numpy()[listed], "domain": [m.domains[k] for k in top[listed]], "rate": np.round(rate[listed], 9)})
+                yield pd.DataFrame({"mix_name": m.name, "sample_id": mine["sample_id"].to_numpy()[listed], "domain": [m.listed[k] for k in top[listed]], "rate": np.round(rate[listed], 9)})
 
     rates = member.mapInPandas(rated, "mix_name string, sample_id long, domain string, rate double")
     # samples of one domain and rate take turns in the order of a hash; the fraction goes to the first of them
@@ -290,7 +291,7 @@ def mix_sources(samples: DataFrame, targets: DataFrame, total: dict[str, float]
     drawn = joined.select("mix_name", "sample_id", "domain", "rate", (F.floor("rate") + F.when(F.col("rank") < extra, 1).otherwise(0)).cast("int").alias("repeats"))
     drawn = cut(drawn)
     plan = drawn.where("repeats > 0")
-    listed = spark.createDataFrame([(m.name, m.kind, d, float(s), int(c)) for m in mixes for d, s, c in zip(m.domains, m.share, m.cap, strict=True)], "mix_name string, kind string, domain string, target_share double, max_repeats int")
+    listed = spark.createDataFrame([(m.name, m.kind, d, float(s), int(c)) for m in mixes for d, s, c in zip(m.listed, m.share, m.cap, strict=True)], "mix_name string, kind string, domain string, target_share double, max_repeats int")
     taken = drawn.groupBy("mix_name", "domain").agg(F.sum("repeats").cast("long").alias("taken"), F.count(F.lit(1)).alias("available"), F.max("repeats").alias("most_repeats"))
     whole = drawn.groupBy("mix_name").agg(F.sum("repeats").alias("mix_total"))
     report = (
