@@ -63,6 +63,19 @@ def overlapping_pairs(preds: DataFrame, truths: DataFrame, group: str, least: fl
     return found.where(F.col("iou") >= least)
 
 
+#: Most targets of a group whose pairs are all made.
+FULL = 64
+
+
+def group_pairs(preds: DataFrame, truths: DataFrame, group: str, least: float = 0.5) -> DataFrame:
+    """The pairs of ``overlapping_pairs``; groups of few targets are joined directly, without cells."""
+    positive = lambda c: (F.get(c, F.lit(2)) > F.get(c, F.lit(0))) & (F.get(c, F.lit(3)) > F.get(c, F.lit(1)))
+    t = truths.where(positive("box")).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(group)))
+    few = preds.where(positive("pred")).join(t.where(F.col("__n") <= FULL), group).select(group, "i", "j", G.iou(F.col("pred"), F.col("box")).alias("iou"))
+    many = t.where(F.col("__n") > FULL).drop("__n")
+    return few.where(F.col("iou") >= least).unionByName(overlapping_pairs(preds.join(many.select(group).distinct(), group, "left_semi"), many, group, least))
+
+
 #: Most candidate pairs of a group that are matched inside one row.
 FOLD = 2_000
 
@@ -90,6 +103,25 @@ def greedy_match(scored: DataFrame, group: str, i: str, j: str, score: str, leas
     return out.select(F.col("g").alias(group), "score", "i", "j")
 
 
+def detection_matches(pairs: DataFrame, group: str, i: str, j: str, score: str, iou: str, thresholds: list[float]) -> DataFrame:
+    """Detections that hit a target at each overlap (AG29): ``group``, ``threshold``, ``i``, ``j``.
+
+    ``pairs``: all pairs that overlap by at least the lowest of ``thresholds``, with the score of ``i``. As in
+    COCO each detection, by falling score (ties by ``i``), takes the free target it overlaps most (ties by the
+    larger ``j``). This is the greedy order of the pairs by score, ``i`` and overlap, so ``greedy_match`` finds it.
+    """
+    rows = pairs.select(F.col(group).alias("g"), F.col(i).alias("i"), F.col(j).alias("j"), F.col(score).alias("s"), F.col(iou).alias("o"))
+    degree = lambda side: F.count(F.lit(1)).over(Window.partitionBy("g", side))
+    place = F.row_number().over(Window.partitionBy("g").orderBy("s", F.col("i").desc(), "o", "j"))
+    marked = cut(rows.withColumn("di", degree("i")).withColumn("dj", degree("j")).withColumn("place", place).drop("s"))
+    at = F.explode(F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: t <= F.col("o"))).alias("threshold")
+    # a pair without rivals on either side is taken at every threshold it reaches
+    alone = marked.where("di = 1 and dj = 1").select("g", at, "i", "j")
+    rest = marked.where("di > 1 or dj > 1").select("g", at, "i", "j", "place").withColumn("g", F.struct("g", "threshold"))
+    found = greedy_match(rest, "g", "i", "j", "place").select("g.g", "g.threshold", "i", "j")
+    return alone.unionByName(found).withColumnRenamed("g", group).withColumnRenamed("i", i).withColumnRenamed("j", j)
+
+
 def best_matches(pairs: Column, iou_least: float = 0.5, sim_least: float = 0.5, strict: bool = False) -> Column:
     """Pairs that satisfy both thresholds (H4): ``array<struct<score, sim, i, j>>``.
 

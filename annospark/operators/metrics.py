@@ -141,3 +141,27 @@ def average_precision(matches: DataFrame, truths: DataFrame, by: list[str], scor
     at = F.transform(F.sequence(F.lit(0), F.lit(100)), lambda r: F.coalesce(F.array_max(F.transform(F.filter(F.col("__c"), lambda x: x["step"] >= r), lambda x: x["precision"])), F.lit(0.0)))
     scored = steps.select(*by, (F.aggregate(at, F.lit(0.0), lambda s, x: s + x) / 101).alias("ap"))
     return truths.select(*by, "n_truth").join(scored, by, "left").select(*by, "n_truth", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+
+
+def coco_scores(matches: DataFrame, truths: DataFrame, by: list[str], score: str, at: str, thresholds: list[float]) -> DataFrame:
+    """``average_precision`` of each threshold, and their mean recall (AG29): ``by``, ``n_truth``, ``aps`` (array), ``ar``.
+
+    ``matches``: one row per detection with its score, a unique ``det_id`` and in ``at`` the thresholds at
+    which it hit (null: none). The order of detections is that of all thresholds, so it is made once.
+    """
+    hits = [f"__h{k}" for k in range(len(thresholds))]
+    hit = lambda t: F.coalesce(F.array_contains(at, F.lit(float(t))), F.lit(False)).cast("int")
+    bucketed = matches.select(*by, F.col(score).alias("__s"), "det_id", F.floor((1 - F.col(score)) * 1000).cast("int").alias("__b"), *[hit(t).alias(h) for h, t in zip(hits, thresholds, strict=True)])
+    sizes = bucketed.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"), *[F.sum(h).alias(h) for h in hits])
+    earlier = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offset = sizes.select(*by, "__b", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_o") for c in ("__n", *hits)])
+    inside = Window.partitionBy(*by, "__b").orderBy(F.col("__s").desc(), "det_id").rowsBetween(Window.unboundedPreceding, 0)
+    curve = bucketed.select(*by, "__b", F.count(F.lit(1)).over(inside).alias("__n"), *[F.sum(h).over(inside).alias(h) for h in hits]).join(offset, [*by, "__b"])
+    each = curve.select(*by, (F.col("__n") + F.col("__n_o")).alias("n"), F.posexplode(F.array(*[F.col(h) + F.col(f"{h}_o") for h in hits])).alias("k", "tp"))
+    points = each.join(truths, by).select(*by, "k", "tp", ratio(F.col("tp"), F.col("n")).alias("precision"), F.floor(F.col("tp") * 100 / F.col("n_truth")).cast("int").alias("step"))
+    best = points.groupBy(*by, "k", "step").agg(F.max("precision").alias("precision"), F.max("tp").alias("tp")).groupBy(*by, "k").agg(F.collect_list(F.struct("step", "precision")).alias("__c"), F.max("tp").alias("tp"))
+    reached = F.transform(F.sequence(F.lit(0), F.lit(100)), lambda r: F.coalesce(F.array_max(F.transform(F.filter(F.col("__c"), lambda x: x["step"] >= r), lambda x: x["precision"])), F.lit(0.0)))
+    one = best.select(*by, "k", "tp", (F.aggregate(reached, F.lit(0.0), lambda s, x: s + x) / 101).alias("ap"))
+    all_ = one.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "ap"))), lambda x: x["ap"]).alias("aps"), F.sum("tp").alias("__tp"))
+    none = F.array(*[F.lit(0.0) for _ in hits])
+    return truths.select(*by, "n_truth").join(all_, by, "left").select(*by, "n_truth", F.coalesce("aps", none).alias("aps"), ratio(F.coalesce("__tp", F.lit(0)), F.col("n_truth") * len(hits)).alias("ar"))

@@ -11,7 +11,7 @@ from ..functions import masks as M
 from ..functions import text as T
 from ..operators import matching as H
 from ..operators import metrics as A
-from ..runtime import table
+from ..runtime import cut, table
 from . import fixtures as X
 from .dialogue import _rounds
 
@@ -109,12 +109,23 @@ def minsum_assignment(spark: SparkSession, d: str) -> DataFrame:
     return H.cheapest_per_target(pairs, "g", "i", "j", "cost").select("j", "i", G.rounded(F.col("cost"), 6).alias("cost"))
 
 
+#: Overlaps of COCO's average, 0.5 to 0.95.
+COCO = [(50 + 5 * k) / 100 for k in range(10)]
+
+
 def detection_ap(spark: SparkSession, d: str) -> DataFrame:
-    """AG29, AG30: average precision per category at overlap one half; every box is one detection of itself, moved."""
-    b = X.with_prediction(X.boxes(spark, d)).where("category_id is not null and score is not null")
-    hits = b.select("category_id", F.col("ann_id").alias("det_id"), "score", (G.iou(F.col("pred"), F.col("box")) >= 0.5).alias("hit"))
+    """AG29, AG30: COCO average precision and recall per category over ten overlaps; every box is a target, every moved box with a score a detection."""
+    # read several times below
+    b = X.with_prediction(cut(X.boxes(spark, d).where("category_id is not null").select("ann_id", "image_id", "category_id", "box", "score")))
+    dets = b.where("score is not null")
+    group = F.concat_ws("#", "image_id", "category_id").alias("g")
+    pairs = H.group_pairs(dets.select(group, F.struct("ann_id", "score").alias("i"), "pred"), b.select(group, F.col("ann_id").alias("j"), "box"), "g", COCO[0])
+    found = H.detection_matches(pairs.select("g", "i.ann_id", "j", "i.score", "iou"), "g", "ann_id", "j", "score", "iou", COCO)
+    rows = dets.select("category_id", F.col("ann_id").alias("det_id"), "score").join(found.groupBy(F.col("ann_id").alias("det_id")).agg(F.collect_set("threshold").alias("at")), "det_id", "left")
     truths = b.groupBy("category_id").agg(F.count(F.lit(1)).alias("n_truth"))
-    return A.average_precision(hits, truths, ["category_id"], "score", "hit").select("category_id", "n_truth", G.rounded(F.col("ap"), 6).alias("ap"))
+    scores = A.coco_scores(rows, truths, ["category_id"], "score", "at", COCO)
+    mean = F.aggregate("aps", F.lit(0.0), lambda s, x: s + x) / len(COCO)
+    return scores.select("category_id", "n_truth", *[G.rounded(c, 6).alias(n) for n, c in (("ap", mean), ("ap50", F.get("aps", F.lit(0))), ("ap75", F.get("aps", F.lit(5))), ("ar", F.col("ar")))])
 
 
 def _unit_masks(spark: SparkSession, d: str) -> DataFrame:
