@@ -97,16 +97,24 @@ def overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d, 0.5, by_class=False).select("i", "j", G.rounded(F.col("iou"), 6).alias("iou"))
 
 
+def _costs(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of a prediction ``i`` and a box ``j`` of one image and class, with L1 of the centre boxes in image units less the generalised overlap."""
+    b = X.with_prediction(X.boxes(spark, d))
+    group = F.concat_ws("#", "image_id", F.col("category_id")).alias("g")
+    pairs = b.select(group, F.col("ann_id").alias("i"), "pred", "w", "h").join(b.select(group, F.col("ann_id").alias("j"), "box"), "g")
+    at = lambda c, k: F.get(c, F.lit(k))
+    centre = lambda c: F.array(*[e / F.col(n) for k, n in ((0, "w"), (1, "h")) for e in ((at(c, k) + at(c, k + 2)) / 2, at(c, k + 2) - at(c, k))])
+    return pairs.select("g", "i", "j", (L.box_l1(centre("pred"), centre("box")) - G.giou(F.col("pred"), F.col("box"))).alias("cost"))
+
+
 def hungarian_assignment(spark: SparkSession, d: str) -> DataFrame:
     """H1, H2, H7: cheapest assignment of predictions to boxes of each image and class."""
-    pairs = _pairs(spark, d, 0.3).withColumn("cost", 1 - F.col("iou"))
-    return H.hungarian(pairs, "g", "i", "j", "cost").groupBy("g").agg(F.count(F.lit(1)).alias("n"), G.rounded(F.sum("cost"), 5).alias("total_cost"))
+    return H.hungarian(_costs(spark, d), "g", "i", "j", "cost").groupBy("g").agg(F.count(F.lit(1)).alias("n"), G.rounded(F.sum("cost"), 5).alias("total_cost"))
 
 
 def minsum_assignment(spark: SparkSession, d: str) -> DataFrame:
-    """H8: cheapest prediction of each box among those that overlap it."""
-    pairs = _pairs(spark, d, 0.3).withColumn("cost", 1 - F.col("iou"))
-    return H.cheapest_per_target(pairs, "g", "i", "j", "cost").select("j", "i", G.rounded(F.col("cost"), 6).alias("cost"))
+    """H8: cheapest prediction of each box of its image and class."""
+    return H.cheapest_per_target(_costs(spark, d), "g", "i", "j", "cost").select("j", "i", G.rounded(F.col("cost"), 6).alias("cost"))
 
 
 #: Overlaps of COCO's average, 0.5 to 0.95.
