@@ -86,11 +86,12 @@ def interleaved(df: DataFrame, corpus: str, pos: str, all_exhausted: bool = Fals
     return wide.withColumn("turn", F.explode(F.filter(turns, lambda t: t < longest))).withColumn("out_pos", F.col("turn") * F.col("__k") + F.col("__i")).drop("__all", "__k", "__i")
 
 
-def interleaved_by_probability(df: DataFrame, corpus: str, pos: str, probabilities: dict[str, float], turns: int, seed: int = 42) -> DataFrame:
-    """``turns`` draws of a corpus by probability (U3): each draw takes that corpus's next row, beginning again at its end.
+def interleaved_by_probability(df: DataFrame, corpus: str, pos: str, probabilities: dict[str, float], turns: int | None = None, seed: int = 42, all_exhausted: bool = False) -> DataFrame:
+    """Draws of a corpus by probability (U3): each draw takes that corpus's next row, beginning again at its end.
 
-    The draw of turn ``t`` is a hash of ``seed`` and ``t``, so turns are made by the
-    workers; how often a corpus was drawn before is counted in ranges of turns.
+    Ends with the draw that exhausts the first corpus, or with ``all_exhausted`` the last one; a number of
+    ``turns`` ends it there instead. The draw of turn ``t`` is a hash of ``seed`` and ``t``, so turns are made
+    by the workers; how often a corpus was drawn before is counted in ranges of turns.
     """
     spark = df.sparkSession
     names = sorted(n for n, p in probabilities.items() if p > 0)
@@ -100,13 +101,34 @@ def interleaved_by_probability(df: DataFrame, corpus: str, pos: str, probabiliti
     pick = F.lit(names[-1])
     for n, e in reversed(list(zip(names, edges, strict=True))[:-1]):
         pick = F.when(u < e, F.lit(n)).otherwise(pick)
-    drawn = spark.range(turns).withColumnRenamed("id", "turn").withColumn("__c", pick).withColumn("__b", F.floor(F.col("turn") / 65536))
-    sizes = drawn.groupBy("__c", "__b").agg(F.count(F.lit(1)).alias("__m"))
-    before = Window.partitionBy("__c").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offset = sizes.select(F.col("__c").alias("__c2"), F.col("__b").alias("__b2"), F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__off"))
-    numbered = drawn.withColumn("__rn", F.row_number().over(Window.partitionBy("__c", "__b").orderBy("turn")) - 1).join(offset, (F.col("__c") == F.col("__c2")) & (F.col("__b") == F.col("__b2")))
+
+    def draws(n: int) -> DataFrame:
+        return spark.range(n).withColumnRenamed("id", "turn").withColumn("__c", pick).withColumn("__b", F.floor(F.col("turn") / 65536))
+
+    def counted(drawn: DataFrame) -> DataFrame:
+        sizes = drawn.groupBy("__c", "__b").agg(F.count(F.lit(1)).alias("__m"))
+        before = Window.partitionBy("__c").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        offset = sizes.select(F.col("__c").alias("__c2"), F.col("__b").alias("__b2"), F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__off"))
+        return drawn.withColumn("__rn", F.row_number().over(Window.partitionBy("__c", "__b").orderBy("turn")) - 1).join(offset, (F.col("__c") == F.col("__c2")) & (F.col("__b") == F.col("__b2")))
+
     lengths = df.groupBy(F.col(corpus).alias("__c3")).agg((F.max(pos) + 1).alias("__n"))
-    at = numbered.join((lengths), F.col("__c") == F.col("__c3")).select("turn", "__c", F.pmod(F.col("__rn") + F.col("__off"), F.col("__n")).alias("__p"))
+    if turns is None:
+        if all_exhausted and len(names) < len(probabilities):
+            raise ValueError("a corpus without probability is never exhausted")
+        # one row per corpus of the configuration
+        wanted = {r["__c3"]: r["__n"] for r in lengths.where(F.col("__c3").isin(names)).collect()}
+        until = max if all_exhausted else min
+        turns = int(until((n / probabilities[c] * total for c, n in wanted.items()), default=0) * 1.05) + (1_000 if wanted else 0)
+        while wanted:
+            made = {r["__c"]: r["count"] for r in draws(turns).groupBy("__c").count().collect()}
+            if (all if all_exhausted else any)(made.get(c, 0) >= n for c, n in wanted.items()):
+                break
+            turns *= 2
+        if wanted:
+            last = F.coalesce(*[F.when(F.col("__c") == c, F.lit(n - 1)) for c, n in wanted.items()])
+            ends = counted(draws(turns)).where(F.col("__rn") + F.col("__off") == last)
+            turns = ends.agg((F.max if all_exhausted else F.min)("turn")).first()[0] + 1
+    at = counted(draws(turns)).join(lengths, F.col("__c") == F.col("__c3")).select("turn", "__c", F.pmod(F.col("__rn") + F.col("__off"), F.col("__n")).alias("__p"))
     return df.join(at, (F.col(corpus) == F.col("__c")) & (F.col(pos) == F.col("__p"))).drop("__c", "__p")
 
 

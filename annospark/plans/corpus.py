@@ -50,10 +50,10 @@ def interleave_over(spark: SparkSession, d: str) -> DataFrame:
 
 
 def interleave_probability(spark: SparkSession, d: str) -> DataFrame:
-    """Draws of a split by probability, ten thousand turns."""
+    """Draws of a split by probability until the first is used up."""
     known = X.images(spark, d).where("split is not null").select("image_id", "split")
     ranked = K.hash_rank(known, "image_id", by=["split"], name="pos")
-    return K.interleaved_by_probability(ranked, "split", "pos", {"train": 0.6, "val": 0.3, "test": 0.1}, 10_000).select("turn", "split", "image_id")
+    return K.interleaved_by_probability(ranked, "split", "pos", {"train": 0.6, "val": 0.3, "test": 0.1}).select("turn", "split", "image_id")
 
 
 def template_assign(spark: SparkSession, d: str) -> DataFrame:
