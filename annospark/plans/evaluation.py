@@ -60,14 +60,14 @@ def cot_accuracy(spark: SparkSession, d: str) -> DataFrame:
 
 def bleu_corpus(spark: SparkSession, d: str) -> DataFrame:
     """AG4: corpus BLEU of each answer against the next."""
-    out = A.bleu(_answers(spark, d).where("pred is not null"), "pred", "target", n=2)
-    return out.select("n_rows", *[G.rounded(F.col(f"bleu{k}"), 6).alias(f"bleu{k}") for k in (1, 2)])
+    out = A.bleu(_answers(spark, d).where("pred is not null"), "pred", "target")
+    return out.select("n_rows", *[G.rounded(F.col(f"bleu{k}"), 6).alias(f"bleu{k}") for k in (1, 2, 3, 4)])
 
 
 def cider_scores(spark: SparkSession, d: str) -> DataFrame:
     """AG5: CIDEr of each answer against the next, as mean and extremes."""
     a = _answers(spark, d).where("pred is not null").withColumn("k", F.concat_ws("#", "sample_id", "round_idx"))
-    c = A.cider(a, "k", "pred", "target", n=2)
+    c = A.cider(a, "k", "pred", "target")
     return c.agg(F.count(F.lit(1)).alias("n"), G.rounded(F.avg("cider"), 5).alias("mean"), G.rounded(F.max("cider"), 4).alias("most"))
 
 
