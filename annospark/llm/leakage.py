@@ -14,9 +14,16 @@ layout and marks do not count. Then, per document:
    diagonals are aligned; the longest stretch of the item that is present with
    few changed or missing words decides.
 
-The items are a small table of fixed size: their q-gram index is sent to the
-workers after a check of its size; beyond ``ITEM_BYTES`` the operator goes over
-the items in blocks, each within the bound.
+The bounds follow each part (passage or question): a case of ``n`` symbols, the
+shortest run of ``MIN_WORDS`` words of it, must keep ``HITS`` q-grams, so by the
+lemma every case within ``(n - Q + 1 - HITS) // Q`` edits is a candidate; of a
+shorter part as many q-grams as it has are asked for. Parts shorter than a q-gram
+are searched letter by letter.
+
+Sentences that several items share are counted over all items before anything
+else. Then the items' q-gram index is sent to the workers after a check of its
+size; beyond ``ITEM_BYTES`` of items the operator goes over them in blocks, each
+within the bound, with the same result: a part is found or not by itself.
 
 Defined results: null and blank documents and items give no row; a document
 holding an item twice gives one row per document row and item; equal items under
@@ -28,25 +35,28 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import cut
+
 #: Symbols in a q-gram.
 Q = 16
 #: Width of a diagonal band, in symbols; bands overlap by half.
 BAND = 48
 #: Words of an unbroken stretch that make a case.
 MIN_WORDS = 20
-#: Shortest piece worth keeping: symbols of about seven words, and edits it may have.
-PIECE, PIECE_EDITS = 40, 1
-#: The whole case: symbols of 20 short words, and edits it may have.
-CASE, CASE_EDITS = 74, 3
+#: Q-grams that a band must hold to be kept: those of a piece of 40 symbols, about seven words, with one edit.
+PIECE_HITS = 40 - Q + 1 - Q
+#: Q-grams that a case must keep: those of 20 short words, 74 symbols, with three edits.
+HITS = 74 - Q + 1 - 3 * Q
 #: Half width of the aligned band: words along and across the diagonal of a hit.
 REACH, SLACK = 6, 3
 #: A stretch of ``n`` words needs ``WORD_SHARE * n + WORD_BASE`` of them, a question ``QUESTION_SHARE`` of its words.
@@ -59,6 +69,10 @@ ANSWER_REACH = 25
 CELL, WINDOW, TOUCHED = 8, 24, 9
 #: Width of a region of diagonals, twice the symbols of the longest interruption.
 REGION = 640
+#: Bands and regions of all texts begin at multiples of this, whichever texts are handled together.
+GRID = 1920
+#: Fewest words of a sentence that counts as shared when several items have it.
+SHARED_WORDS = 6
 #: Items whose texts together are larger are handled in several blocks.
 ITEM_BYTES = 8 << 20
 CHUNK = 1_000_000
@@ -111,39 +125,76 @@ def _grams(symbols: np.ndarray) -> np.ndarray:
         return out * _MIX
 
 
+def _letters(symbols: np.ndarray) -> str:
+    """Symbols as text, one character each."""
+    return symbols.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def words_of(text: str) -> list[str]:
     """Words without case and accents; tags and marks are left out."""
     text = unicodedata.normalize("NFKD", _TAG.sub(" ", text))
     return [w.lower() for w in _WORD.findall("".join(c for c in text if not unicodedata.combining(c)) if not text.isascii() else text)]
 
 
+def _sentences(text: str | None) -> list[str]:
+    return re.split(r"(?<=[.!?])\s+", text or "")
+
+
+def with_shared(items: DataFrame) -> DataFrame:
+    """The items with ``shared``: the places of those sentences of the passage that another item has too, counted over all items."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for item, passage in zip(pdf["item_id"], pdf["passage"], strict=True):
+                for place, sentence in enumerate(_sentences(passage)):
+                    w = words_of(sentence)
+                    if len(w) >= SHARED_WORDS:
+                        rows.append((item, place, blake2b(" ".join(w).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()))
+            yield pd.DataFrame(rows, columns=["item_id", "place", "key"])
+
+    sentences = items.select("item_id", "passage").mapInPandas(split, "item_id long, place int, key string")
+    several = sentences.groupBy("key").agg(F.countDistinct("item_id").alias("n")).where("n > 1").select("key")
+    flagged = sentences.join(several, "key", "left_semi").groupBy("item_id").agg(F.collect_set("place").alias("shared"))
+    return items.join(flagged, "item_id", "left")
+
+
 class Index:
-    """The q-grams of a block of items."""
+    """The q-grams of a block of items: ``item_id``, question, passage, answer, places of shared sentences."""
 
-    def __init__(self, items: list[tuple[int, str | None, str | None, str | None]]):
+    def __init__(self, items: list[tuple[int, str | None, str | None, str | None, list[int] | None]]):
         self.parts: list[tuple[int, str, list[str], np.ndarray, list[str]]] = []  # item, kind, words, evidence, answer
-        sentences = Counter(s for _, _, p, _ in items for s in {" ".join(words_of(x)) for x in re.split(r"(?<=[.!?])\s+", p or "")})
-        grams, owner, place = [], [], []
-        for item, question, passage, answer in items:
+        self.short: list[tuple[str, int]] = []  # letters of a part shorter than a q-gram, part
+        grams, owner, place, need, cells = [], [], [], [], []
+        for item, question, passage, answer, shared in items:
             for kind, text in (("p", passage), ("q", question)):
                 if not text or not text.strip():
                     continue
                 if kind == "q" and not words_of(answer or ""):
                     continue
                 words, evidence = [], []
-                for s in re.split(r"(?<=[.!?])\s+", text):
+                for k, s in enumerate(_sentences(text)):
                     w = words_of(s)
-                    shared = kind == "p" and len(w) >= 6 and sentences[" ".join(w)] > 1
                     words += w
-                    evidence += [not shared] * len(w)
+                    evidence += [not (kind == "p" and k in (shared or ()))] * len(w)
+                if not any(evidence):
+                    continue
                 letters = "".join(words)
-                h = _grams(_symbols()[_codes(letters)])
+                symbols = _symbols()[_codes(letters)]
+                h = _grams(symbols)
                 of_word = np.repeat(np.arange(len(words)), [len(w) for w in words])[: len(h)] if words else np.zeros(0, int)
                 use = np.array(evidence, bool)[of_word] if len(h) else np.zeros(0, bool)
                 at = np.flatnonzero(use)
+                if not len(at):
+                    self.short.append((_letters(symbols), len(self.parts)))
                 grams.append(h[at])
                 owner.append(np.full(len(at), len(self.parts), np.int32))
                 place.append(at.astype(np.int32))
+                sizes = np.array([len(w) for w, e in zip(words, evidence, strict=True) if e])
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                case = int((ends[MIN_WORDS:] - ends[:-MIN_WORDS]).min()) if kind == "p" and len(sizes) > MIN_WORDS else int(ends[-1])
+                need.append(min(max(case - Q + 1, 1), HITS))
+                cells.append(int(ends[-1]) // CELL)
                 self.parts.append((item, kind, words, np.array(evidence, bool), words_of(answer or "")))
         g = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         order = np.argsort(g, kind="stable")
@@ -151,7 +202,7 @@ class Index:
         self.unique, self.first, self.count = np.unique(self.gram, return_index=True, return_counts=True)
         self.words = [np.repeat(np.arange(len(p[2])), [len(w) for w in p[2]]) for p in self.parts]
         self.question = np.array([p[1] == "q" for p in self.parts], bool)
-        self.cells = np.array([sum(len(w) for w, e in zip(p[2], p[3], strict=True) if e) // CELL for p in self.parts], np.int64)
+        self.need, self.cells = np.array(need, np.int64), np.array(cells, np.int64)
         self.filter = np.zeros(1 << 22, bool)
         self.filter[(self.unique >> np.uint64(42)).astype(np.int64)] = True
 
@@ -167,7 +218,6 @@ class Index:
         slot = np.repeat(self.first[where], n) + step
         return np.repeat(at, n), self.owner[slot], self.place[slot]
 
-
     def dense(self, part: np.ndarray, pair: np.ndarray, place: np.ndarray) -> np.ndarray:
         """For each of the numbered pairs, whether its hits touch enough of the part close together: a stretch, or a whole question."""
         width = int(place.max() + Q) // CELL + 1
@@ -181,26 +231,24 @@ class Index:
         return np.where(self.question[part], total >= 0.6 * self.cells[part], reach.max(1) >= np.minimum(TOUCHED, 0.6 * self.cells[part]))
 
 
-_PIECE_HITS = PIECE - Q + 1 - PIECE_EDITS * Q
-_CASE_HITS = CASE - Q + 1 - CASE_EDITS * Q
-
-
 def _kept(index: Index, doc: np.ndarray, part: np.ndarray, at: np.ndarray, place: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
     """Hits of the bands that are kept, by document and part."""
     parts = len(index.parts)
     pair = doc.astype(np.int64) * parts + part
     few = np.bincount(pair)
-    keep = np.flatnonzero(few[pair] >= _CASE_HITS)
+    need = index.need[part]
+    keep = np.flatnonzero(few[pair] >= need)
+    need = need[keep]
     pair, at, place = pair[keep], at[keep], place[keep]
     if not len(pair):
         return []
     diagonal = at - place
-    low = int(diagonal.min()) - BAND
+    low = int(diagonal.min()) // GRID * GRID - GRID
     bands = int(diagonal.max() - low) // BAND + 2
     kept = np.zeros(len(pair), bool)
     for shift in (0, BAND // 2):
         _, back, size = np.unique(pair * bands + (diagonal - low + shift) // BAND, return_inverse=True, return_counts=True)
-        kept |= size[back] >= _PIECE_HITS
+        kept |= size[back] >= np.minimum(need, PIECE_HITS)
     pair, at, place = pair[kept], at[kept], place[kept]
     # an interruption moves a passage by at most REGION / 2, so each case lies within one region of either shift
     diagonal = at - place - low
@@ -212,7 +260,7 @@ def _kept(index: Index, doc: np.ndarray, part: np.ndarray, at: np.ndarray, place
         group, first, second = group[order], at[order], place[order]
         lo = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1]) if len(group) else np.zeros(0, np.int64)
         size = np.diff(np.concatenate([lo, [len(group)]]))
-        some = np.flatnonzero(size >= _CASE_HITS)
+        some = np.flatnonzero(size >= index.need[group[lo] // regions % parts])
         if not len(some):
             continue
         slot = np.full(len(lo), -1)
@@ -314,7 +362,7 @@ def _search(index: Index):
             size = 0
             values = batch.column("text").to_pylist()
             for i, text in enumerate(values):
-                if text and len(text) >= Q:
+                if text:
                     rows.append(i)
                     texts.append(_TAG.sub(" ", text) if "<" in text else text)
                     size += len(text)
@@ -334,7 +382,7 @@ def _in_texts(index: Index, table: np.ndarray, texts: list[str]) -> list[tuple[i
     symbol = symbol[at]
     gram = _grams(symbol)
     hit, part, place = index.hits(gram)
-    if not len(hit):
+    if not len(hit) and not index.short:
         return []
     first = np.searchsorted(at, np.concatenate([[0], ends]))
     of_symbol = np.repeat(np.arange(len(texts)), np.diff(first))
@@ -343,7 +391,8 @@ def _in_texts(index: Index, table: np.ndarray, texts: list[str]) -> list[tuple[i
     hit, part, place, doc = hit[inside], part[inside], place[inside], doc[inside]
     out: set[tuple[int, int]] = set()
     known: dict[int, tuple[list[str], np.ndarray]] = {}
-    for d, p, h, pl in _kept(index, doc, part, hit, place):
+    kept = _kept(index, doc, part, hit, place) if len(hit) else []
+    for d, p, h, pl in sorted([*kept, *_short(index, symbol, of_symbol)], key=lambda x: x[:2]):
         item = index.parts[p][0]
         if (d, item) in out:
             continue
@@ -355,6 +404,17 @@ def _in_texts(index: Index, table: np.ndarray, texts: list[str]) -> list[tuple[i
     return sorted(out)
 
 
+def _short(index: Index, symbol: np.ndarray, of_symbol: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Where the parts shorter than a q-gram occur, letter for letter."""
+    whole = _letters(symbol) if index.short else ""
+    for letters, part in index.short:
+        at = whole.find(letters)
+        while at >= 0:
+            if of_symbol[at] == of_symbol[at + len(letters) - 1]:
+                yield int(of_symbol[at]), part, np.array([at]), np.array([0])
+            at = whole.find(letters, at + 1)
+
+
 def _doc_words(text: str) -> tuple[list[str], np.ndarray]:
     """Words of a document in symbols, and the word of each symbol."""
     table = _symbols()
@@ -381,12 +441,14 @@ def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "question", "passage", "answer").where("item_id is not null").dropDuplicates(["item_id"])
     sized = items.withColumn("bytes", sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("question", "passage", "answer")), F.lit(0)))
-    total, count = sized.agg(F.sum("bytes"), F.count(F.lit(1))).first()
-    blocks = max(1, -(-int(total or 0) // ITEM_BYTES))
+    blocks = max(1, -(-int(sized.agg(F.sum("bytes")).first()[0] or 0) // ITEM_BYTES))
+    marked = with_shared(items)
+    if blocks > 1:
+        marked = cut(marked)
     out = None
     for b in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        index = Index(sorted((r["item_id"], r["question"], r["passage"], r["answer"]) for r in block.toLocalIterator()))
+        block = marked if blocks == 1 else marked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
+        index = Index(sorted((r["item_id"], r["question"], r["passage"], r["answer"], r["shared"]) for r in block.toLocalIterator()))
         one = docs.mapInArrow(_search(index), "doc_id long, item_id long")
         out = one if out is None else out.unionByName(one)
     return out

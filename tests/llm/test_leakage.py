@@ -91,3 +91,44 @@ def test_exact_passages_against_brute_force(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     i = spark.createDataFrame(ITEMS, "item_id long, question string, passage string, answer string")
     assert {(r.doc_id, r.item_id) for r in L.leaked_items(d, i).collect()} == want
+
+
+def test_shared_sentences_are_counted_over_all_blocks(spark, monkeypatch):
+    stock = sentence(25)
+    items = [(k, None, f"{stock} {sentence(24)}", None) for k in range(12)]
+    d = spark.createDataFrame([(1, sentence(40) + " " + stock + " " + sentence(40)), (2, items[3][2])], "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, question string, passage string, answer string")
+    for size in (8 << 20, 1500):
+        monkeypatch.setattr(L, "ITEM_BYTES", size)
+        assert {(r.doc_id, r.item_id) for r in L.leaked_items(d, i).collect()} == {(2, 3)}
+
+
+def test_texts_handled_together_do_not_matter():
+    docs, want = build()
+    index = L.Index([(*x, [0] if x[0] % 3 == 0 else []) for x in ITEMS])
+    texts = [(k, L._TAG.sub(" ", v)) for k, v in docs.items() if v]
+    alone = {(k, i) for k, v in texts for _, i in L._in_texts(index, L._symbols(), [v])}
+    together = {(texts[d][0], i) for d, i in L._in_texts(index, L._symbols(), [v for _, v in texts])}
+    assert alone == together == want
+
+
+def test_short_parts(spark):
+    i = spark.createDataFrame([(1, None, "Zebra on ice", None), (2, "Who is it?", None, "Ada"), (3, None, "A kite above the pier.", None)], "item_id long, question string, passage string, answer string")
+    d = spark.createDataFrame([(1, "see: zebra ON ice"), (2, "zebra"), (3, "Who is it? - Ada"), (4, "Who is it?"), (5, "x a kite, above the pier"), (6, "kite")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in L.leaked_items(d, i).collect()} == {(1, 1), (3, 2), (5, 3)}
+
+
+@pytest.mark.parametrize(("share", "least"), [(0.05, 1.0), (0.1, 0.99), (0.15, 0.97)])
+def test_recall_with_changed_words(share, least):
+    """Passages of 40 words with a share of them changed, at random places."""
+    rng = random.Random(int(share * 100))
+    passages = [" ".join(rng.choice(WORDS) + rng.choice("abcdefgh") for _ in range(40)) for _ in range(200)]
+    index = L.Index([(k, None, p, None, None) for k, p in enumerate(passages)])
+    changed = []
+    for p in passages:
+        w = p.split()
+        for at in rng.sample(range(40), round(40 * share)):
+            w[at] = "changed" + rng.choice("xyz")
+        changed.append(f"{sentence(30)} {' '.join(w)} {sentence(30)}")
+    found = {(d, i) for d, i in L._in_texts(index, L._symbols(), changed) if d == i}
+    assert len(found) >= least * 200
