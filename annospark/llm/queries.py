@@ -23,22 +23,22 @@ def p1_by_source(spark: SparkSession, d: str) -> DataFrame:
     return p1_found(spark, d).join(sources, "sample_id").groupBy("source", "defect").agg(F.count(F.lit(1)).alias("n_rounds"))
 
 
-def _overlaps(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.overlaps(table(spark, d, "images", "image_id", "file_name", "split", "source"), table(spark, d, "samples", "sample_id", "image", "split", "source"))
+def _names(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, d, "images", "image_id", "file_name", "split", "source"), table(spark, d, "samples", "sample_id", "image", "split", "source")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _overlaps(spark, d).select("rec_a", "rec_b")
+    return overlap.overlaps(*_names(spark, d))
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs and evaluation records per split and source."""
-    return overlap.overlap_report(_overlaps(spark, d))
+    """Pairs, evaluation records and pictures per split and source, counted from the classes."""
+    return overlap.overlap_report(overlap.overlap_classes(*_names(spark, d)))
 
 
 def p2_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs with the part of each name that the shared span covers."""
-    return _overlaps(spark, d).select("rec_a", "rec_b", "identity", "t_coverage", "h_coverage")
+    """Records with a partner: class, number of partners, part of the name that shared spans cover."""
+    return overlap.coverage(*_names(spark, d))
 
 
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
