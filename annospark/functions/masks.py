@@ -1,9 +1,10 @@
 """Masks as run lengths, never as dense arrays in a table.
 
 A mask is ``struct<h int, w int, counts array<int>>``: runs in column order, the
-first of zeros. Rectangles and discs have closed forms; areas, overlaps and boxes
-are folds over runs. Only polygons, compressed strings and resampling go to
-vectorised Python.
+first of zeros. Rectangles and discs have closed forms, areas and boxes are folds
+over runs with a few numbers as state; whatever needs the places of all runs adds
+them up once in a vectorised function. Everything is linear in the runs. Polygons,
+compressed strings and resampling go to vectorised Python.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from .geometry import let
 
@@ -23,21 +24,35 @@ def _mask(h: Column, w: Column, counts: Column) -> Column:
     return F.struct(h.cast("int").alias("h"), w.cast("int").alias("w"), counts.cast("array<int>").alias("counts"))
 
 
-def merged_runs(runs: Column) -> Column:
-    """Runs ``array<struct<v int, n int>>`` as counts: equal neighbours joined, zeros first (M7)."""
-    kind = "struct<c:array<int>,v:int,n:int>"
+def _from_spans(starts: Column, ends: Column, size: Column) -> Column:
+    """Counts of rising half-open spans; spans that touch are joined, empty ones must be gone."""
 
-    def step(s: Column, r: Column) -> Column:
-        same = r["v"] == s["v"]
-        return F.when(r["n"] <= 0, s).otherwise(F.struct(F.when(same, s["c"]).otherwise(F.concat(s["c"], F.array(s["n"]))).alias("c"), F.when(same, s["v"]).otherwise(r["v"]).alias("v"), F.when(same, s["n"] + r["n"]).otherwise(r["n"]).alias("n")).cast(kind))
+    def joined(se: Column) -> Column:
+        a, b = se["a"], se["b"]
+        first = F.filter(a, lambda x, i: (i == 0) | (F.get(b, i - 1) != x))
+        last = F.filter(b, lambda x, i: (i == F.size(b) - 1) | (F.get(a, i + 1) != x))
+        return F.struct(first.alias("a"), last.alias("b"))
 
-    start = F.struct(F.array().cast("array<int>").alias("c"), F.lit(0).alias("v"), F.lit(0).alias("n")).cast(kind)
-    return F.aggregate(runs, start, step, lambda s: F.concat(s["c"], F.array(s["n"])))
+    def counts(se: Column) -> Column:
+        a, b = se["a"], se["b"]
+        runs = F.flatten(F.transform(a, lambda x, i: F.array(x - F.when(i == 0, F.lit(0)).otherwise(F.get(b, i - 1)), F.get(b, i) - x)))
+        tail = size - F.coalesce(F.get(b, F.size(b) - 1), F.lit(0))
+        return F.concat(runs, F.when((tail > 0) | (F.size(a) == 0), F.array(tail)).otherwise(F.array().cast("array<int>")))
+
+    spans = F.struct(starts.cast("array<int>").alias("a"), ends.cast("array<int>").alias("b"))
+    return let(let(spans, joined), counts)
 
 
 def from_pixels(pixels: Column, h: Column, w: Column) -> Column:
-    """A mask from its pixels in column order (M7)."""
-    return _mask(h, w, merged_runs(F.transform(pixels, lambda p: F.struct(F.when(p != 0, 1).otherwise(0).alias("v"), F.lit(1).alias("n")))))
+    """A mask from its pixels in column order (M7): the lengths between changes."""
+
+    def counts(p: Column) -> Column:
+        set_ = lambda i: F.when(i < 0, F.lit(False)).otherwise(F.coalesce(F.get(p, i) != 0, F.lit(False)))
+        places = F.when(F.size(p) > 0, F.sequence(F.lit(0), F.size(p) - 1)).otherwise(F.array().cast("array<int>"))
+        changes = F.concat(F.filter(places, lambda i: set_(i) != set_(i - 1)), F.array(F.size(p)))
+        return let(changes, lambda c: F.transform(c, lambda x, i: x - F.when(i == 0, F.lit(0)).otherwise(F.get(c, i - 1))))
+
+    return _mask(h, w, let(pixels, counts))
 
 
 def box_mask(box: Column, w: Column, h: Column) -> Column:
@@ -58,20 +73,21 @@ def box_mask(box: Column, w: Column, h: Column) -> Column:
 
 
 def disc_mask(x: Column, y: Column, radius: int, w: Column, h: Column) -> Column:
-    """A disc around a point (M2): the chord of each column."""
+    """A disc around a point (M2): the chord of each column it touches."""
+    none = F.array().cast("array<struct<a:int,b:int>>")
+
+    def chords(c: Column) -> Column:
+        left, right = F.greatest(c["x"] - radius, F.lit(0)), F.least(c["x"] + radius, w - 1)
+
+        def chord(i: Column) -> Column:
+            half = F.floor(F.sqrt(F.lit(radius * radius) - (i - c["x"]) * (i - c["x"]))).cast("int")
+            return F.struct((i * h + F.greatest(c["y"] - half, F.lit(0))).cast("int").alias("a"), (i * h + F.least(c["y"] + half + 1, h)).cast("int").alias("b"))
 
-    def column(i: Column) -> Column:
-        dx = i - F.floor(x)
-        half = F.floor(F.sqrt(F.greatest(F.lit(radius * radius) - dx * dx, F.lit(0))))
-        inside = F.abs(dx) <= radius
-        top = F.greatest(F.floor(y) - half, F.lit(0))
-        bottom = F.least(F.floor(y) + half + 1, h)
-        n = F.when(inside, F.greatest(bottom - top, F.lit(0))).otherwise(F.lit(0))
-        start = F.when(n > 0, top).otherwise(F.lit(0))
-        run = lambda v, k: F.struct(F.lit(v).alias("v"), k.cast("int").alias("n"))
-        return F.array(run(0, start), run(1, n), run(0, h - start - n))
+        return F.filter(F.when(left <= right, F.transform(F.sequence(left, right), chord)).otherwise(none), lambda s: s["b"] > s["a"])
 
-    return _mask(h, w, merged_runs(F.flatten(F.transform(F.sequence(F.lit(0), w - 1), column))))
+    centre = F.struct(F.floor(x).cast("int").alias("x"), F.floor(y).cast("int").alias("y"))
+    counts = let(let(centre, chords), lambda s: _from_spans(F.transform(s, lambda v: v["a"]), F.transform(s, lambda v: v["b"]), (w * h).cast("int")))
+    return _mask(h, w, counts)
 
 
 def area(mask: Column) -> Column:
@@ -79,28 +95,29 @@ def area(mask: Column) -> Column:
     return F.aggregate(F.transform(mask["counts"], lambda n, i: F.when(i % 2 == 1, n).otherwise(0)), F.lit(0), lambda s, n: s + n)
 
 
-def _spans(mask: Column) -> Column:
-    """Set pixels as half-open spans."""
-    kind = "struct<at:int,one:boolean,out:array<struct<a:int,b:int>>>"
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("one"), F.array().cast("array<struct<a:int,b:int>>").alias("out")).cast(kind)
+def _ends(counts: pd.Series) -> pd.Series:
+    return counts.map(lambda c: None if c is None else np.cumsum(np.asarray(c, np.int64)).astype(np.int32))
 
-    def step(s: Column, n: Column) -> Column:
-        span = F.array(F.struct(s["at"].alias("a"), (s["at"] + n).alias("b")))
-        return F.struct((s["at"] + n).alias("at"), (~s["one"]).alias("one"), F.when(s["one"] & (n > 0), F.concat(s["out"], span)).otherwise(s["out"]).alias("out")).cast(kind)
 
-    return F.aggregate(mask["counts"], start, step, lambda s: s["out"])
+#: Where each run ends.
+run_ends = F.pandas_udf(_ends, ArrayType(IntegerType()))
+
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Pixels that two masks, given by where their runs end, both set: the set pixels of one before each edge of the other."""
+    before = np.concatenate([[0], np.cumsum(np.diff(np.concatenate([[0], b])) * (np.arange(len(b)) % 2))])
+    upto = np.interp(a, np.concatenate([[0], b]), before)
+    n = len(a) // 2 * 2
+    return int(round(float(upto[1:n:2].sum() - upto[0:n:2].sum())))
 
-def intersection(a: Column, b: Column) -> Column:
-    """Pixels set in both masks: a merge of the runs of both, linear in their number."""
-    edges = lambda m, d: F.flatten(F.transform(_spans(m), lambda s: F.array(F.struct(s["a"].alias("at"), F.lit(d).alias("d")), F.struct(s["b"].alias("at"), F.lit(-d).alias("d")))))
-    events = F.sort_array(F.concat(edges(a, 1), edges(b, 1)))
-    kind = "struct<at:int,on:int,sum:bigint>"
 
-    def step(s: Column, e: Column) -> Column:
-        return F.struct(e["at"].alias("at"), (s["on"] + e["d"]).alias("on"), (s["sum"] + F.when(s["on"] == 2, e["at"] - s["at"]).otherwise(0)).alias("sum")).cast(kind)
+def _intersections(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
+    rows = zip(a["counts"], b["counts"], strict=True)
+    return pd.Series([None if x is None or y is None else _common(np.cumsum(np.asarray(x, np.int64)), np.cumsum(np.asarray(y, np.int64))) for x, y in rows], dtype="Int64")
 
-    return F.aggregate(events, F.struct(F.lit(0).alias("at"), F.lit(0).alias("on"), F.lit(0).alias("sum")).cast(kind), step, lambda s: s["sum"])
+
+#: Pixels set in both masks.
+intersection = F.pandas_udf(_intersections, LongType())
 
 
 def iou(a: Column, b: Column) -> Column:
@@ -109,37 +126,54 @@ def iou(a: Column, b: Column) -> Column:
     return F.try_divide(both.cast("double"), (area(a) + area(b) - both).cast("double"))
 
 
-def iou_matrix(a: Column, b: Column) -> Column:
-    """Overlap of every mask of one array with every mask of another."""
-    return F.transform(a, lambda x: F.transform(b, lambda y: iou(x, y)))
+def _matrix(a: pd.Series, b: pd.Series) -> pd.Series:
+    def one(xs: list | None, ys: list | None) -> list | None:
+        if xs is None or ys is None:
+            return None
+        ex, ey = ([np.cumsum(np.asarray(m["counts"], np.int64)) for m in ms] for ms in (xs, ys))
+        sx, sy = ([int(np.diff(np.concatenate([[0], e]))[1::2].sum()) for e in es] for es in (ex, ey))
+        both = [[_common(p, q) for q in ey] for p in ex]
+        return [[c / (m + n - c) if m + n - c else None for c, n in zip(row, sy, strict=True)] for row, m in zip(both, sx, strict=True)]
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+
+
+#: Overlap of every mask of one array with every mask of another (M11); null for two empty ones.
+iou_matrix = F.pandas_udf(_matrix, ArrayType(ArrayType(DoubleType())))
 
 
 def bounds(mask: Column) -> Column:
     """Box around the set pixels (M16), null for an empty mask."""
     h = mask["h"]
-    spans = _spans(mask)
-    xs = F.flatten(F.transform(spans, lambda s: F.array(F.floor(s["a"] / h), F.floor((s["b"] - 1) / h))))
-    crosses = F.exists(spans, lambda s: F.floor(s["a"] / h) != F.floor((s["b"] - 1) / h))
-    tops = F.transform(spans, lambda s: s["a"] % h)
-    lows = F.transform(spans, lambda s: (s["b"] - 1) % h)
-    y1 = F.when(crosses, F.lit(0)).otherwise(F.array_min(tops))
-    y2 = F.when(crosses, h - 1).otherwise(F.array_max(lows))
-    return F.when(F.size(spans) > 0, F.array(*[c.cast("double") for c in (F.array_min(xs), y1, F.array_max(xs), y2)]))
+    kind = "struct<at:int,one:boolean,x1:int,y1:int,x2:int,y2:int>"
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("one"), *[F.lit(None).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")]).cast(kind)
+
+    def step(s: Column, n: Column) -> Column:
+        end = s["at"] + n - 1
+        crosses = F.floor(s["at"] / h) != F.floor(end / h)
+        top, low = F.when(crosses, F.lit(0)).otherwise(s["at"] % h), F.when(crosses, h - 1).otherwise(end % h)
+        seen = s["one"] & (n > 0)
+        part = lambda c, new: F.when(seen, new).otherwise(s[c]).cast("int").alias(c)
+        return F.struct((s["at"] + n).alias("at"), (~s["one"]).alias("one"), part("x1", F.coalesce(s["x1"], F.floor(s["at"] / h).cast("int"))), part("y1", F.least(s["y1"], top)), part("x2", F.floor(end / h).cast("int")), part("y2", F.greatest(s["y2"], low)))
+
+    return F.aggregate(mask["counts"], start, step, lambda s: F.when(s["x1"].isNotNull(), F.array(*[s[c].cast("double") for c in ("x1", "y1", "x2", "y2")])))
 
 
 def expand_square(mask: Column) -> Column:
     """The mask in the padded square (M3, M4)."""
     h, w = mask["h"], mask["w"]
     side = F.greatest(h, w)
-    left = F.floor((side - w) / 2)
-    top = F.floor((side - h) / 2)
-    run = lambda v, n: F.struct(v.alias("v"), n.cast("int").alias("n"))
-    pieces = F.flatten(F.transform(_spans(mask), lambda s: F.transform(F.sequence(F.floor(s["a"] / h), F.floor((s["b"] - 1) / h)), lambda x: F.struct(((x + left) * side + top + F.greatest(s["a"] - x * h, F.lit(0))).cast("int").alias("a"), ((x + left) * side + top + F.least(s["b"] - x * h, h)).cast("int").alias("b")))))
-    kind = "struct<at:int,out:array<struct<v:int,n:int>>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<v:int,n:int>>").alias("out")).cast(kind)
-    step = lambda s, p: F.struct(p["b"].alias("at"), F.concat(s["out"], F.array(run(F.lit(0), p["a"] - s["at"]), run(F.lit(1), p["b"] - p["a"]))).alias("out")).cast(kind)
-    runs = F.aggregate(pieces, start, step, lambda s: F.concat(s["out"], F.array(run(F.lit(0), side * side - s["at"]))))
-    return _mask(side, side, merged_runs(runs))
+    left, top = F.floor((side - w) / 2), F.floor((side - h) / 2)
+
+    def pieces(e: Column) -> Column:
+        # set runs, cut where they pass from one column to the next
+        columns = lambda k: F.sequence(F.floor(F.get(e, 2 * k) / h), F.floor((F.get(e, 2 * k + 1) - 1) / h))
+        cut = lambda k: F.transform(columns(k), lambda x: F.struct(((x + left) * side + top + F.greatest(F.get(e, 2 * k) - x * h, F.lit(0))).cast("int").alias("a"), ((x + left) * side + top + F.least(F.get(e, 2 * k + 1) - x * h, h)).cast("int").alias("b")))
+        runs = F.filter(F.sequence(F.lit(0), F.greatest(F.floor(F.size(e) / 2).cast("int"), F.lit(0))), lambda k: F.get(e, 2 * k + 1) > F.get(e, 2 * k))
+        return F.flatten(F.transform(runs, cut))
+
+    counts = let(let(run_ends(mask["counts"]), pieces), lambda s: _from_spans(F.transform(s, lambda v: v["a"]), F.transform(s, lambda v: v["b"]), (side * side).cast("int")))
+    return _mask(side, side, counts)
 
 
 def pixel_area(w: Column, h: Column) -> Column:

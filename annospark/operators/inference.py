@@ -12,10 +12,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import masks as M
+from ..functions.geometry import let
 
 Model = Callable[[pd.DataFrame], pd.DataFrame]
 METRICS: dict[str, Callable[..., DataFrame]] = {}
@@ -71,77 +72,77 @@ def hash_encoder(size: int = 16) -> Callable[[], Model]:
     return make
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
-
-
-def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(-1, keepdims=True))
-    return e / e.sum(-1, keepdims=True)
-
-
-def semantic_map(classes: np.ndarray, masks: np.ndarray) -> np.ndarray:
-    """Class scores per pixel (M24): class probabilities without the last, weighted by mask probabilities."""
-    return np.einsum("qc,qhw->chw", _softmax(classes)[:, :-1], _sigmoid(masks))
-
-
-def panoptic_map(classes: np.ndarray, masks: np.ndarray, things: set[int], overlap: float = 0.8) -> tuple[np.ndarray, list[tuple[int, int, bool]]]:
-    """Segments that do not overlap (M25): each pixel goes to its best query; segments that keep too little of their mask are dropped, equal background classes joined."""
-    scores, labels = _sigmoid(classes).max(-1), classes.argmax(-1)
-    keep = labels != classes.shape[-1] - 1
-    scores, labels, probabilities = scores[keep], labels[keep], _sigmoid(masks[keep])
-    out = np.zeros(masks.shape[-2:], np.int32)
-    segments: list[tuple[int, int, bool]] = []
-    if not len(labels):
-        return out, segments
-    owner = (scores[:, None, None] * probabilities).argmax(0)
-    background: dict[int, int] = {}
-    for k, label in enumerate(labels.tolist()):
-        solid, mine = probabilities[k] >= 0.5, owner == k
-        mask = solid & mine
-        if not mask.any() or mine.sum() / solid.sum() < overlap:
-            continue
-        if label not in things and label in background:
-            out[mask] = background[label]
-            continue
-        number = len(segments) + 1
-        if label not in things:
-            background[label] = number
-        out[mask] = number
-        segments.append((number, label, label in things))
-    return out, segments
-
-
-def instances(classes: np.ndarray, masks: np.ndarray, things: set[int], most: int = 100) -> list[tuple[float, int, np.ndarray]]:
-    """The best query and class pairs (M26, L12): score weighted by the mean probability inside the mask; ties by query, then class."""
-    scores = _sigmoid(classes)
-    n = scores.shape[1]
-    order = np.argsort(-scores.ravel(), kind="stable")[:most]
-    out = []
-    for at in order.tolist():
-        q, label = divmod(at, n)
-        if label in things:
-            mask = masks[q] > 0
-            inside = float(_sigmoid(masks[q])[mask].sum() / (mask.sum() + 1e-6))
-            out.append((float(scores[q, label]) * inside, label, mask))
-    return out
+def _logistic(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def class_probabilities(scores: Column) -> Column:
+    """Softmax of the class scores of a query."""
+    return let(scores, lambda c: let(F.transform(c, lambda x: F.exp(x - F.array_max(c))), lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))))
+
+
+def query_rows(df: DataFrame) -> DataFrame:
+    """One row per query of each picture: ``image_id``, ``h``, ``w``, ``query``, ``classes`` (scores, the last for no object), ``mask`` (a score per pixel, row by row)."""
+    return df.select("image_id", "h", "w", F.posexplode(F.arrays_zip(F.col("classes").alias("c"), F.col("masks").alias("m"))).alias("query", "q")).select("image_id", "h", "w", "query", F.col("q.c").alias("classes"), F.col("q.m").alias("mask"))
+
+
+def pixel_rows(queries: DataFrame, *keep: str) -> DataFrame:
+    """One row per query and pixel: ``image_id``, ``query``, ``pixel``, ``p`` (probability that the pixel is the query's) and the columns to keep."""
+    return queries.select("image_id", "query", *keep, F.posexplode("mask").alias("pixel", "x")).select("image_id", "query", *keep, "pixel", _logistic(F.col("x")).alias("p"))
+
+
+def semantic_labels(df: DataFrame) -> DataFrame:
+    """The likeliest class of each pixel (M24): ``image_id``, ``pixel``, ``category_id``, ``score``.
+
+    A class scores the sum over queries of the query's probability for it, no
+    object aside, times its probability for the pixel. Ties go to the smaller class.
+    """
+    q = query_rows(df).withColumn("prob", class_probabilities(F.col("classes")))
+    one = pixel_rows(q, "prob").select("image_id", "pixel", "p", F.posexplode(F.slice("prob", 1, F.greatest(F.size("prob") - 1, F.lit(0)))).alias("category_id", "c"))
+    summed = one.groupBy("image_id", "pixel", "category_id").agg(F.sum(F.col("p") * F.col("c")).alias("score"))
+    return summed.groupBy("image_id", "pixel").agg(F.max(F.struct("score", (-F.col("category_id")).alias("c"))).alias("m")).select("image_id", "pixel", (-F.col("m.c")).alias("category_id"), F.col("m.score").alias("score"))
+
+
+def panoptic_segments(df: DataFrame, things: list[int], overlap: float = 0.8) -> DataFrame:
+    """Segments that share no pixel (M25): ``image_id``, ``segment`` (first query of it), ``category_id``, ``thing``, ``pixels`` (sorted).
+
+    Every pixel is won by the query with the greatest product of class and pixel
+    probability (ties: the first query); queries whose likeliest class is no object
+    take no part. A query keeps the pixels it won and fills, and is dropped when
+    those it won are less than ``overlap`` of those it fills. Queries of one class
+    that is no thing are one segment. All of it is joins of aggregates over
+    (picture, query, pixel) rows, so no picture has to fit a task.
+    """
+    q = query_rows(df).withColumn("best", F.array_max("classes"))
+    q = q.withColumn("category_id", F.array_position("classes", F.col("best")) - 1).where(F.col("category_id") < F.size("classes") - 1).withColumn("score", _logistic(F.col("best")))
+    rows = pixel_rows(q, "category_id", "score")
+    winner = rows.groupBy("image_id", "pixel").agg(F.max(F.struct((F.col("score") * F.col("p")).alias("v"), (-F.col("query")).alias("q"), "category_id", (F.col("p") >= 0.5).alias("fills"))).alias("w"))
+    won = winner.select("image_id", "pixel", (-F.col("w.q")).alias("query"), "w.category_id", "w.fills")
+    filled = rows.where("p >= 0.5").groupBy("image_id", "query").agg(F.count(F.lit(1)).alias("n_filled"))
+    kept = won.groupBy("image_id", "query").agg(F.count(F.lit(1)).alias("n_won"), F.max("fills").alias("some")).join(filled, ["image_id", "query"]).where(F.col("some") & (F.col("n_won") / F.col("n_filled") >= overlap)).select("image_id", "query")
+    thing = F.col("category_id").isin(*things) if things else F.lit(False)
+    mine = won.where("fills").join(kept, ["image_id", "query"]).withColumn("thing", thing)
+    grouped = mine.groupBy("image_id", "category_id", "thing", F.when(F.col("thing"), F.col("query")).alias("__own")).agg(F.min("query").alias("segment"), F.sort_array(F.collect_list("pixel")).alias("pixels"))
+    return grouped.select("image_id", "segment", "category_id", "thing", "pixels")
 
 
 def instance_rows(df: DataFrame, things: list[int], most: int = 100) -> DataFrame:
-    """Instances of each picture as rows (M26, S40): ``image_id``, ``h``, ``w``, ``classes`` and ``masks`` (flat score arrays per query) to ``image_id``, ``category_id``, ``score``, ``counts``."""
-    known = set(things)
+    """Instances of each picture (M26, L12, S40): ``image_id``, ``query``, ``category_id``, ``score``, ``counts``.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for image, h, w, c, m in zip(pdf["image_id"], pdf["h"], pdf["w"], pdf["classes"], pdf["masks"], strict=True):
-                if c is None or not len(c):
-                    continue
-                found = instances(np.stack([np.asarray(x, float) for x in c]), np.stack([np.asarray(x, float) for x in m]).reshape(len(m), int(h), int(w)), known, most)
-                rows += [(image, label, score, M._runs(mask)) for score, label, mask in found]
-            yield pd.DataFrame(rows, columns=["image_id", "category_id", "score", "counts"])
-
-    return df.select("image_id", "h", "w", "classes", "masks").mapInPandas(run, "image_id long, category_id int, score double, counts array<int>")
+    The ``most`` best pairs of a query and a class, by the class's probability, ties
+    by query and class; of those, things, their score weighted by the mean
+    probability of the pixels in the mask.
+    """
+    q = query_rows(df)
+    pairs = q.select("image_id", "query", F.posexplode("classes").alias("category_id", "x")).select("image_id", "query", "category_id", _logistic(F.col("x")).alias("score"))
+    ranked = pairs.withColumn("__r", F.row_number().over(Window.partitionBy("image_id").orderBy(F.col("score").desc(), "query", "category_id"))).where(F.col("__r") <= most)
+    best = ranked.where(F.col("category_id").isin(*things) if things else F.lit(False)).drop("__r")
+    inside = F.filter("mask", lambda x: x > 0)
+    mean = F.aggregate(inside, F.lit(0.0), lambda s, x: s + _logistic(x)) / (F.size(inside) + 1e-6)
+    # the run lengths go column by column, the scores row by row
+    column = F.transform(F.sequence(F.lit(0), F.col("h") * F.col("w") - 1), lambda k: F.when(F.get("mask", (k % F.col("h")) * F.col("w") + F.floor(k / F.col("h")).cast("int")) > 0, 1).otherwise(0))
+    shapes = q.select("image_id", "query", mean.alias("inside"), M.from_pixels(column, F.col("h"), F.col("w"))["counts"].alias("counts"))
+    return best.join(shapes, ["image_id", "query"]).select("image_id", "query", "category_id", (F.col("score") * F.col("inside")).alias("score"), "counts")
 
 
 def prompt_masks(boxes: Column, w: Column, h: Column, most: int) -> Column:

@@ -23,13 +23,15 @@ Defined results: payloads that are null, blank, cut off or not an object are no
 record and are listed by ``rejects``; a repeated key counts once (the payload of
 the smallest ``loaded_at``, then the smallest identity); numbers keep their
 written value; of a key given twice in one object the last counts, as in JSON
-readers; payloads nested deeper than ``DEPTH`` are rejected.
+readers; payloads nested deeper than ``DEPTH`` are rejected, and text that holds
+deeper JSON stays text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import sys
 from collections.abc import Iterator
 
@@ -37,13 +39,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import skew_join, stored
+
 #: Deepest nesting that is read.
-DEPTH = 2000
+DEPTH = 500
+#: Rows of one object that meet one copy of its children in a join.
+HOT = 100_000
 #: Identities a worker remembers so as to write each object once; beyond it they are written again and removed later.
 REMEMBER = 200_000
 
-ROWS = "kind string, raw_id long, loaded_at timestamp_ntz, node string, parent string, field string, shape string, ordinal int, child string, scalar string, content string, fields array<string>, role string, has_task boolean, has_unit boolean"
-_NAMES = ["kind", "raw_id", "loaded_at", "node", "parent", "field", "shape", "ordinal", "child", "scalar", "content", "fields", "role", "has_task", "has_unit"]
+_TYPES = {
+    "kind": pa.string(), "raw_id": pa.int64(), "loaded_at": pa.timestamp("us"), "node": pa.binary(), "parent": pa.binary(), "field": pa.string(), "shape": pa.string(), "ordinal": pa.int32(), "child": pa.binary(), "system": pa.bool_(),
+    "scalar": pa.string(), "content": pa.string(), "fields": pa.list_(pa.string()), "role": pa.string(), "has_task": pa.bool_(), "has_unit": pa.bool_(),
+}
+ROWS = "kind string, raw_id long, loaded_at timestamp_ntz, node binary, parent binary, field string, shape string, ordinal int, child binary, system boolean, scalar string, content string, fields array<string>, role string, has_task boolean, has_unit boolean"
+_BRACKETS = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]', re.S)
+
+
+def _too_deep(text: str) -> bool:
+    """Whether JSON text nests deeper than ``DEPTH``; brackets in its strings do not count."""
+    if text.count("[") + text.count("{") <= DEPTH:
+        return False
+    depth = 0
+    for m in _BRACKETS.finditer(text):
+        if m.group() in "[{":
+            depth += 1
+            if depth > DEPTH:
+                return True
+        elif m.group() in "]}":
+            depth -= 1
+    return False
 
 
 def _dump(value: object) -> str:
@@ -56,7 +81,7 @@ def _refuse(name: str) -> None:
 
 def read_payload(text: str | None) -> dict | None:
     """The payload as an object, or None where it is no whole JSON object."""
-    if not text or not text.strip():
+    if not text or not text.strip() or _too_deep(text):
         return None
     try:
         value = json.loads(text, parse_constant=_refuse)
@@ -76,7 +101,7 @@ def _leaf(value: object) -> bool:
 
 def _embedded(value: object) -> object | None:
     """The array or object written as text in a string, or None."""
-    if isinstance(value, str) and value.lstrip()[:1] in ("[", "{"):
+    if isinstance(value, str) and value.lstrip()[:1] in ("[", "{") and not _too_deep(value):
         try:
             inner = json.loads(value, parse_constant=_refuse)
         except (ValueError, RecursionError):
@@ -90,10 +115,12 @@ class _Store:
     """Rows of the objects met; each identity once as long as it is remembered."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple] = []
+        self.roots: list[tuple] = []
+        self.nodes: list[tuple] = []
+        self.edges: list[tuple] = []
         self.seen: set[bytes] = set()
 
-    def node(self, value: dict) -> str:
+    def node(self, value: dict) -> bytes:
         content, fields, edges = {}, sorted(value), []
         system = value.get("from") == "system"
         for field in fields:
@@ -106,55 +133,62 @@ class _Store:
             else:
                 edges += self.parts(field, part, "")
         text = _dump(content)
-        digest = hashlib.blake2b(_dump([text, edges]).encode("utf-8", "surrogatepass"), digest_size=16)
-        name = digest.hexdigest()
+        digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16)
+        for field, shape, ordinal, child, scalar, _ in edges:
+            place = f"{len(field)} {field} {shape} {ordinal} "
+            digest.update(place.encode("utf-8", "surrogatepass") + (child or b"-" + (scalar or "").encode("utf-8", "surrogatepass")))
         key = digest.digest()
         if key not in self.seen:
             if len(self.seen) >= REMEMBER:
                 self.seen.clear()
             self.seen.add(key)
             role = value.get("from")
-            self.rows.append(("node", None, None, name, None, None, None, None, None, None, text, fields, role if isinstance(role, str) else None, "task" in value, "unit" in value))
-            for field, shape, ordinal, child, scalar in edges:
-                self.rows.append(("edge", None, None, None, name, field, shape, ordinal, child, scalar, None, None, None, None, None))
-        return name
+            self.nodes.append((key, text, fields, role if isinstance(role, str) else None, "task" in value, "unit" in value))
+            self.edges += [(key, *e) for e in edges]
+        return key
 
     def parts(self, field: str, value: object, prefix: str) -> list[tuple]:
+        """Places of a field: field, shape, ordinal, child, scalar, whether the child is a system turn."""
         if isinstance(value, dict):
-            return [(field, prefix + "object", 0, self.node(value), None)]
+            return [(field, prefix + "object", 0, *self.place(value))]
         if isinstance(value, list):
             if not value:
-                return [(field, prefix + "empty", 0, None, None)]
+                return [(field, prefix + "empty", 0, None, None, False)]
             return [(field, prefix + "array", i, *self.place(x)) for i, x in enumerate(value)]
-        return [(field, prefix + "scalar", 0, None, _dump(value))]
+        return [(field, prefix + "scalar", 0, None, _dump(value), False)]
 
-    def place(self, value: object) -> tuple[str | None, str | None]:
+    def place(self, value: object) -> tuple[bytes | None, str | None, bool]:
         if isinstance(value, dict):
-            return self.node(value), None
+            return self.node(value), None, value.get("from") == "system"
         if _leaf(value):
-            return None, _dump(value)
-        return self.node({"": value}), None  # an array within an array
+            return None, _dump(value), False
+        return self.node({"": value}), None, False  # an array within an array
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """The rows so far, one batch of each kind."""
+        for kind, rows, names in (
+            (None, self.roots, ("kind", "raw_id", "loaded_at", "node")),
+            ("node", self.nodes, ("node", "content", "fields", "role", "has_task", "has_unit")),
+            ("edge", self.edges, ("parent", "field", "shape", "ordinal", "child", "scalar", "system")),
+        ):
+            if not rows:
+                continue
+            columns = dict(zip(names, zip(*rows, strict=True), strict=True))
+            if kind:
+                columns["kind"] = [kind] * len(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(len(rows), t) for c, t in _TYPES.items()], list(_TYPES))
+            rows.clear()
 
 
 def _hash_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), DEPTH * 4))
+    # an object takes up to three calls a level, and text within a payload may be as deep as the payload
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), DEPTH * 10))
     store = _Store()
-    types = [pa.string(), pa.int64(), pa.timestamp("us"), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.bool_(), pa.bool_()]
     for batch in batches:
         for raw_id, loaded, payload in zip(batch.column("raw_id").to_pylist(), batch.column("loaded_at").to_pylist(), batch.column("payload").to_pylist(), strict=True):
             value = read_payload(payload)
-            name = None
-            if value is not None:
-                before = len(store.rows)
-                try:
-                    name = store.node(value)
-                except RecursionError:
-                    del store.rows[before:]
-                    store.seen.clear()
-            store.rows.append(("root" if name else "reject", raw_id, loaded, name, *[None] * 11))
-        columns = list(zip(*store.rows, strict=True)) or [[]] * len(_NAMES)
-        store.rows = []
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], _NAMES)
+            store.roots.append(("reject", raw_id, loaded, None) if value is None else ("root", raw_id, loaded, store.node(value)))
+        yield from store.batches()
 
 
 class FlatTables:
@@ -165,10 +199,8 @@ class FlatTables:
         self._all = rows.mapInArrow(_hash_trees, ROWS)
 
     def materialised(self) -> FlatTables:
-        """The same, with the hashed rows written once; for several tables of one corpus."""
-        from ..runtime import cut
-
-        self._all = cut(self._all)
+        """The same, with the hashed rows written once, by kind; for several tables of one corpus."""
+        self._all = stored(self._all, "kind")
         return self
 
     @property
@@ -187,13 +219,14 @@ class FlatTables:
 
     @property
     def edges(self) -> DataFrame:
-        return self._all.where("kind = 'edge'").select("parent", "field", "shape", "ordinal", "child", "scalar").dropDuplicates(["parent", "field", "ordinal"])
+        return self._all.where("kind = 'edge'").select("parent", "field", "shape", "ordinal", "child", "scalar", "system").dropDuplicates(["parent", "field", "ordinal"])
 
     def turns(self) -> DataFrame:
         """``raw_id``, ``turn_idx``, ``node``, ``role``, ``value`` of every turn that is an object."""
         places = self.edges.where("field = 'conversations' and child is not null").select(F.col("parent").alias("node"), F.col("ordinal").alias("turn_idx"), F.col("child"))
         kinds = self.nodes.select(F.col("node").alias("child"), "role", F.get_json_object("content", "$.value").alias("value"))
-        return self.roots.join(places, "node").select("raw_id", "turn_idx", "child").join(kinds, "child").select("raw_id", "turn_idx", F.col("child").alias("node"), "role", "value")
+        where = skew_join(self.roots, places, "node", "raw_id", HOT).select("raw_id", "turn_idx", "child")
+        return skew_join(where, kinds, "child", "raw_id", HOT).select("raw_id", "turn_idx", F.col("child").alias("node"), "role", "value")
 
     def _entries(self) -> DataFrame:
         """``turn``, ``task_idx``, ``entry`` of the distinct system turns."""
@@ -201,13 +234,14 @@ class FlatTables:
         system = nodes.where("role = 'system'")
         direct = system.where("has_task or has_unit").select(F.col("node").alias("turn"), F.lit(0).alias("task_idx"), F.col("node").alias("entry"))
         inside = self.edges.where("field = 'value' and child is not null").select(F.col("parent").alias("turn"), F.col("ordinal").alias("task_idx"), F.col("child").alias("entry"))
+        # children are distinct objects here, so no key is hot
         valid = nodes.where("has_task or has_unit").select(F.col("node").alias("entry"))
         return direct.unionByName(inside.join(system.select(F.col("node").alias("turn")), "turn", "left_semi").join(valid, "entry", "left_semi").select("turn", "task_idx", "entry"))
 
     def _units(self) -> DataFrame:
         """``turn``, ``task_idx``, ``entry``, ``unit_idx``, ``unit`` of the distinct system turns; -1 for an entry without unit."""
         entries = self._entries()
-        listed = self.edges.where("field = 'unit' and (child is not null or scalar <> 'null')").select(F.col("parent").alias("entry"), F.col("ordinal").alias("unit_idx"), F.coalesce("child", F.get_json_object(F.concat(F.lit('{"u":'), "scalar", F.lit("}")), "$.u")).alias("unit"))
+        listed = self.edges.where("field = 'unit' and (child is not null or scalar <> 'null')").select(F.col("parent").alias("entry"), F.col("ordinal").alias("unit_idx"), F.coalesce(F.lower(F.hex("child")), F.get_json_object(F.concat(F.lit('{"u":'), "scalar", F.lit("}")), "$.u")).alias("unit"))
         bare = self.nodes.where("has_unit").select(F.col("node").alias("entry"), F.lit(0).alias("unit_idx"), F.get_json_object("content", "$.unit").alias("unit")).where("unit is not null and unit <> '[]'")
         units = listed.unionByName(bare)
         return entries.join(units, "entry", "left").select("turn", "task_idx", "entry", F.coalesce("unit_idx", F.lit(-1)).alias("unit_idx"), "unit")
@@ -217,19 +251,19 @@ class FlatTables:
         where = self.turn_places()
         task = self.edges.where("field = 'task' and child is not null").select(F.col("parent").alias("entry"), F.col("child").alias("node")).join(self.nodes.select("node", "content"), "node").select("entry", F.get_json_object("content", "$.task_name").alias("task_name"), F.get_json_object("content", "$.use_unit").alias("use_unit"))
         named = self._entries().join(task.dropDuplicates(["entry"]), "entry", "left")
-        return where.join(named, "turn").select("raw_id", "turn_idx", "task_idx", "entry", "task_name", "use_unit")
+        return skew_join(where, named, "turn", "raw_id", HOT).select("raw_id", "turn_idx", "task_idx", "entry", "task_name", "use_unit")
 
     def turn_places(self) -> DataFrame:
-        """``raw_id``, ``turn_idx``, ``turn``: where each distinct turn occurs."""
-        places = self.edges.where("field = 'conversations' and child is not null").select(F.col("parent").alias("node"), F.col("ordinal").alias("turn_idx"), F.col("child").alias("turn"))
-        return self.roots.join(places, "node").select("raw_id", "turn_idx", "turn")
+        """``raw_id``, ``turn_idx``, ``turn``: where each distinct system turn occurs."""
+        places = self.edges.where("field = 'conversations' and system").select(F.col("parent").alias("node"), F.col("ordinal").alias("turn_idx"), F.col("child").alias("turn"))
+        return skew_join(self.roots, places, "node", "raw_id", HOT).select("raw_id", "turn_idx", "turn")
 
     def unit_rows(self) -> DataFrame:
         """``raw_id``, ``turn_idx``, ``task_idx``, ``unit_idx``, ``unit`` of every unit of the system turns' task entries."""
-        return self.turn_places().join(self._units(), "turn").select("raw_id", F.col("turn_idx").cast("int").alias("turn_idx"), F.col("task_idx").cast("int").alias("task_idx"), F.col("unit_idx").cast("int").alias("unit_idx"), "unit")
+        return skew_join(self.turn_places(), self._units(), "turn", "raw_id", HOT).select("raw_id", F.col("turn_idx").cast("int").alias("turn_idx"), F.col("task_idx").cast("int").alias("task_idx"), F.col("unit_idx").cast("int").alias("unit_idx"), "unit")
 
 
-def rebuild(node: str, nodes: dict[str, str], edges: dict[str, list[tuple]]) -> dict:
+def rebuild(node: bytes, nodes: dict[bytes, str], edges: dict[bytes, list[tuple]]) -> dict:
     """A payload from its rows; ``nodes``: identity to content, ``edges``: parent to (field, shape, ordinal, child, scalar)."""
     value = json.loads(nodes[node])
     fields: dict[str, list[tuple]] = {}

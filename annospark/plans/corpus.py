@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,11 +50,15 @@ def interleave_over(spark: SparkSession, d: str) -> DataFrame:
     return K.interleaved(ranked, "split", "pos", all_exhausted=True).select("out_pos", "split", "image_id")
 
 
+#: Probabilities of the splits in ``interleave_probability``.
+MIXTURE = {"train": 0.5, "val": 0.2, "test": 0.1, "testa": 0.1, "testb": 0.1}
+
+
 def interleave_probability(spark: SparkSession, d: str) -> DataFrame:
     """Draws of a split by probability until the first is used up."""
     known = X.images(spark, d).where("split is not null").select("image_id", "split")
     ranked = K.hash_rank(known, "image_id", by=["split"], name="pos")
-    return K.interleaved_by_probability(ranked, "split", "pos", {"train": 0.6, "val": 0.3, "test": 0.1}).select("turn", "split", "image_id")
+    return K.interleaved_by_probability(ranked, "split", "pos", MIXTURE).select("turn", "split", "image_id")
 
 
 def template_assign(spark: SparkSession, d: str) -> DataFrame:
@@ -145,6 +150,7 @@ QUERIES = {
     for f in (subset_portion, concat_shuffle_portion, interleave_under, interleave_over, interleave_probability, template_assign, sample_per_image, topn_area, coco_index_join, detection_caption, class_counts, scene_graph_lookup, substring_theta_join, key_intersection, duplicate_ids, file_names, class_synonyms, round_order)
 }
 
+_EDGES = list(zip(sorted(MIXTURE), np.cumsum([MIXTURE[n] / sum(MIXTURE.values()) for n in sorted(MIXTURE)]).tolist(), strict=True))
 _INTER = f"""with {X.IMAGES}, p_ as (select split, image_id, row_number() over (partition by split order by md5('42:' || image_id), image_id) - 1 as pos, count(*) over (partition by split) as n from images_ where split is not null),
   c_ as (select split, n, dense_rank() over (order by split) - 1 as i from (select distinct split, n from p_)), l_ as (select min(n) as lo, max(n) as hi, count(*) as k from c_)"""
 _HEX = "cast('0x' || substring(md5('42:' || {0}), 1, 8) as bigint)"
@@ -177,7 +183,8 @@ SQL = {
     "round_order": """with s_ as (select sample_id, any_value(conversations) as c from samples group by 1)
         select sample_id, len(c) as n_turns, least(len(c), cast('0x' || substring(md5('43:' || sample_id), 1, 8) as bigint) % 3 + 1) as n_kept from s_""",
     "interleave_probability": f"""with {X.IMAGES}, p_ as (select split, image_id, row_number() over (partition by split order by md5('42:' || image_id), image_id) - 1 as pos, count(*) over (partition by split) as n from images_ where split is not null),
-        t_ as (select turn, cast(cast('0x' || substring(md5('42:' || turn), 1, 12) as bigint) as double) / cast(281474976710656 as double) as u from (select unnest(range(0, 10000)) as turn)),
-        d_ as (select turn, case when u < cast(0.1 as double) then 'test' when u < cast(0.7 as double) then 'train' else 'val' end as split from t_), r_ as (select turn, split, row_number() over (partition by split order by turn) - 1 as r from d_)
-        select r_.turn, p_.split, p_.image_id from r_ join p_ on r_.split = p_.split and p_.pos = r_.r % p_.n""",
+        t_ as (select turn, cast(cast('0x' || substring(md5('42:' || turn), 1, 12) as bigint) as double) / cast(281474976710656 as double) as u from (select unnest(range(0, (select 100 * count(*) + 10000 from images_))) as turn)),
+        d_ as (select turn, case {" ".join(f"when u < cast({e!r} as double) then '{n}'" for n, e in _EDGES[:-1])} else '{_EDGES[-1][0]}' end as split from t_), r_ as (select turn, split, row_number() over (partition by split order by turn) - 1 as r from d_),
+        e_ as (select min(turn) as last_turn from r_ join (select split, max(n) as n from p_ group by 1) s_ on r_.split = s_.split and r_.r = s_.n - 1)
+        select r_.turn, p_.split, p_.image_id from r_ join p_ on r_.split = p_.split and p_.pos = r_.r % p_.n where r_.turn <= (select last_turn from e_)""",
 }

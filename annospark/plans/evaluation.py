@@ -136,32 +136,35 @@ def detection_ap(spark: SparkSession, d: str) -> DataFrame:
     return scores.select("category_id", "n_truth", *[G.rounded(c, 6).alias(n) for n, c in (("ap", mean), ("ap50", F.get("aps", F.lit(0))), ("ap75", F.get("aps", F.lit(5))), ("ar", F.col("ar")))])
 
 
-def _unit_masks(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes and predictions of images scaled to about a tenth, as masks."""
+def _box_masks(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes and predictions as masks of their whole images."""
     b = X.with_prediction(X.boxes(spark, d))
-    w, h = F.floor(F.col("w") / 10).cast("int"), F.floor(F.col("h") / 10).cast("int")
-    small = lambda c: F.transform(c, lambda v: F.floor(v / 10))
-    return b.select("ann_id", "image_id", M.box_mask(small("box"), w, h).alias("t"), M.box_mask(small("pred"), w, h).alias("p"))
+    w, h = F.col("w").cast("int"), F.col("h").cast("int")
+    return b.select("ann_id", "image_id", M.box_mask(F.col("box"), w, h).alias("t"), M.box_mask(F.col("pred"), w, h).alias("p"))
 
 
 def mask_rle(spark: SparkSession, d: str) -> DataFrame:
     """Run lengths, area and bounds of box masks."""
-    m = _unit_masks(spark, d)
+    m = _box_masks(spark, d).select("ann_id", "t")
     return m.select("ann_id", F.size("t.counts").alias("n_runs"), M.area(F.col("t")).alias("n_pixels"), F.array_join(F.transform(M.bounds(F.col("t")), lambda x: x.cast("int").cast("string")), ",").alias("bounds"))
 
 
 def res_metrics(spark: SparkSession, d: str) -> DataFrame:
     """M10, AG13-AG15: overlap over sums of pixels, mean overlap, empty unions counting as 1."""
-    m = _unit_masks(spark, d).select(M.intersection(F.col("p"), F.col("t")).alias("i"), M.area(F.col("p")).alias("a"), M.area(F.col("t")).alias("b"))
+    m = _box_masks(spark, d).select(M.intersection(F.col("p"), F.col("t")).alias("i"), M.area(F.col("p")).alias("a"), M.area(F.col("t")).alias("b"))
     u = F.col("a") + F.col("b") - F.col("i")
     return m.agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("sum_i"), F.sum(u).alias("sum_u"), G.rounded(A.ratio(F.sum("i"), F.sum(u)), 6).alias("ciou"), G.rounded(F.avg(F.coalesce(A.ratio(F.col("i"), u), F.lit(1.0))), 5).alias("giou"))
 
 
+#: Radius of the discs of ``point_masks``.
+RADIUS = 10
+
+
 def point_masks(spark: SparkSession, d: str) -> DataFrame:
     """M2, M3: discs around box centres, and in the padded square."""
     b = X.boxes(spark, d)
     c = G.xyxy_to_center(F.col("box"))
-    disc = M.disc_mask(F.get(c, F.lit(0)) / 10, F.get(c, F.lit(1)) / 10, 4, F.floor(F.col("w") / 10).cast("int"), F.floor(F.col("h") / 10).cast("int"))
+    disc = M.disc_mask(F.get(c, F.lit(0)), F.get(c, F.lit(1)), RADIUS, F.col("w").cast("int"), F.col("h").cast("int"))
     m = b.select("ann_id", disc.alias("m"))
     return m.select("ann_id", M.area(F.col("m")).alias("n_pixels"), M.area(M.expand_square(F.col("m"))).alias("n_square"))
 
@@ -214,8 +217,8 @@ _IOU = _iou_sql(("p.px1", "p.py1", "p.px2", "p.py2"), ("t.x1", "t.y1", "t.x2", "
 _PAIR = f"""with {X.PREDS}, pair_ as (select p.image_id, p.category_id, p.ann_id as i, t.ann_id as j, {_IOU} as iou from preds_ p join preds_ t on p.image_id = t.image_id)"""
 _ANSWERS = f"with {_ROUNDS}, a_ as (select sample_id, round_idx, output as target, lead(output) over (partition by sample_id order by round_idx) as pred from rounds_)"
 _WORDS = "list_filter(string_split(trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}\\s]', '', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: x <> '')"
-_SMALL = f"""{X.PREDS}, m_ as (select ann_id, cast(floor(w / 10) as int) as mw, cast(floor(h / 10) as int) as mh, floor(x1 / 10) as x1, floor(y1 / 10) as y1, floor(x2 / 10) as x2, floor(y2 / 10) as y2, floor(px1 / 10) as px1, floor(py1 / 10) as py1, floor(px2 / 10) as px2, floor(py2 / 10) as py2 from preds_),
-  c_ as (select ann_id, mw, mh, {", ".join(f"least(greatest({c}, 0), {'mw' if 'x' in c else 'mh'}) as {c}" for c in ("x1", "y1", "x2", "y2", "px1", "py1", "px2", "py2"))} from m_)"""
+_GRAMS = "g_ as (" + " union all ".join(f"select k, '{c}' as s, {n} as n, unnest(list_transform(range(1, len({c}) - {n - 2}), lambda i: array_to_string({c}[i:i + {n - 1}], ' '))) as g from w_" for c in "pt" for n in (1, 2, 3, 4)) + ")"
+_MASKS = f"""{X.PREDS}, c_ as (select ann_id, cast(w as int) as mw, cast(h as int) as mh, {", ".join(f"least(greatest(trunc({c}), 0), {'w' if 'x' in c else 'h'}) as {c}" for c in ("x1", "y1", "x2", "y2", "px1", "py1", "px2", "py2"))} from preds_)"""
 _TASK = "case when contains({0}, '<boxes>') then 'T' || {0} else case when coalesce({0}, '') = '' then null else 'F' end end"
 
 SQL = {
@@ -228,18 +231,20 @@ SQL = {
     "cot_accuracy": f"""{_ANSWERS}, b_ as (select case when coalesce(target, '') = '' then null else contains(target, '<boxes>') and contains(target, '<Phrase>') end as t, case when coalesce(pred, '') = '' then null else contains(pred, '<boxes>') and contains(pred, '<Phrase>') end as p, case when coalesce(target, '') <> '' then contains(target, '<boxes>') end as tb, case when coalesce(pred, '') <> '' then contains(pred, '<boxes>') end as pb,
         (len(target) - len(replace(target, '<REF>', ''))) // 5 as tr, (len(pred) - len(replace(pred, '<REF>', ''))) // 5 as pr from a_)
         select count(*) as n, {_R("avg(case when tb = pb then 1 else 0 end)", 6)} as block_accuracy, {_R("avg(case when tr = pr then 1 else 0 end)", 6)} as reference_accuracy from b_""",
-    "bleu_corpus": f"""{_ANSWERS}, w_ as (select row_number() over () as k, {_WORDS.format('pred')} as p, {_WORDS.format('target')} as t from a_ where pred is not null),
-        g_ as (select k, 'p' as s, 1 as n, unnest(p) as g from w_ union all select k, 't', 1, unnest(t) from w_ union all select k, 'p', 2, unnest(list_transform(range(1, len(p)), lambda i: p[i] || ' ' || p[i + 1])) from w_ union all select k, 't', 2, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) from w_),
+    "bleu_corpus": f"""{_ANSWERS}, w_ as (select row_number() over () as k, {_WORDS.format('pred')} as p, {_WORDS.format('target')} as t from a_ where pred is not null), {_GRAMS},
         c_ as (select k, n, g, count_if(s = 'p') as cp, count_if(s = 't') as ct from g_ group by 1, 2, 3), h_ as (select n, sum(least(cp, ct)) as hit, sum(cp) as tot from c_ group by n), l_ as (select sum(len(p)) as lp, sum(len(t)) as lt, count(*) as r from w_),
-        x_ as (select r, case when lp >= lt then 1 else exp(1 - lt / lp) end as b, (select hit / tot from h_ where n = 1) as p1, (select hit / tot from h_ where n = 2) as p2 from l_)
-        select r as n_rows, {_R("b * exp(ln(p1))", 6)} as bleu1, {_R("b * exp((ln(p1) + ln(p2)) / 2)", 6)} as bleu2 from x_""",
+        x_ as (select r, case when lp >= lt then 1 else exp(1 - lt / lp) end as b, {", ".join(f"(select ln(hit / tot) from h_ where n = {n}) as q{n}" for n in (1, 2, 3, 4))} from l_)
+        select r as n_rows, {", ".join(f"{_R('coalesce(b * exp((' + ' + '.join(f'q{k}' for k in range(1, n + 1)) + f') / {n}), 0)', 6)} as bleu{n}" for n in (1, 2, 3, 4))} from x_""",
     "overlap_pairs": f"{_PAIR} select i, j, {_R('iou', 6)} as iou from pair_ where iou >= 0.5",
-    "minsum_assignment": f"""with {X.PREDS}, pair_ as (select p.ann_id as i, t.ann_id as j, {_IOU} as iou from preds_ p join preds_ t on p.image_id = t.image_id and p.category_id is not distinct from t.category_id),
-        r_ as (select *, row_number() over (partition by j order by 1 - iou, i) as r from pair_ where iou >= 0.3) select j, i, {_R("1 - iou", 6)} as cost from r_ where r = 1""",
-    "mask_rle": f"""with {_SMALL}, r_ as (select *, x2 > x1 and y2 > y1 as live from c_)
+    "minsum_assignment": f"""with {X.PREDS}, pair_ as (select p.ann_id as i, t.ann_id as j, p.w, p.h, p.px1, p.py1, p.px2, p.py2, t.x1, t.y1, t.x2, t.y2 from preds_ p join preds_ t on p.image_id = t.image_id and p.category_id is not distinct from t.category_id),
+        e_ as (select i, j, abs((px1 + px2) / 2 / w - (x1 + x2) / 2 / w) + abs((px2 - px1) / w - (x2 - x1) / w) + abs((py1 + py2) / 2 / h - (y1 + y2) / 2 / h) + abs((py2 - py1) / h - (y2 - y1) / h) as l1,
+          greatest(least(px2, x2) - greatest(px1, x1), 0) * greatest(least(py2, y2) - greatest(py1, y1), 0) as both_, greatest(px2 - px1, 0) * greatest(py2 - py1, 0) + greatest(x2 - x1, 0) * greatest(y2 - y1, 0) as ab, (greatest(px2, x2) - least(px1, x1)) * (greatest(py2, y2) - least(py1, y1)) as hull from pair_),
+        c_ as (select i, j, l1 - (coalesce(both_ / nullif(ab - both_, 0), 0) - coalesce((hull - (ab - both_)) / nullif(hull, 0), 0)) as cost from e_),
+        r_ as (select *, row_number() over (partition by j order by cost, i) as r from c_) select j, i, {_R("cost", 6)} as cost from r_ where r = 1""",
+    "mask_rle": f"""with {_MASKS}, r_ as (select *, x2 > x1 and y2 > y1 as live from c_)
         select ann_id, cast(case when not live then 1 when y1 = 0 and y2 = mh then case when x2 = mw then 2 else 3 end else 2 * (x2 - x1) + case when x2 = mw and y2 = mh then 0 else 1 end end as int) as n_runs, cast(case when live then (x2 - x1) * (y2 - y1) else 0 end as int) as n_pixels,
         case when live then cast(cast(x1 as int) as varchar) || ',' || cast(cast(y1 as int) as varchar) || ',' || cast(cast(x2 - 1 as int) as varchar) || ',' || cast(cast(y2 - 1 as int) as varchar) end as bounds from r_""",
-    "res_metrics": f"""with {_SMALL}, r_ as (select greatest(x2 - x1, 0) * greatest(y2 - y1, 0) as b, greatest(px2 - px1, 0) * greatest(py2 - py1, 0) as a, greatest(least(x2, px2) - greatest(x1, px1), 0) * greatest(least(y2, py2) - greatest(y1, py1), 0) as i from c_)
+    "res_metrics": f"""with {_MASKS}, r_ as (select greatest(x2 - x1, 0) * greatest(y2 - y1, 0) as b, greatest(px2 - px1, 0) * greatest(py2 - py1, 0) as a, greatest(least(x2, px2) - greatest(x1, px1), 0) * greatest(least(y2, py2) - greatest(y1, py1), 0) as i from c_)
         select count(*) as n, cast(sum(i) as bigint) as sum_i, cast(sum(a + b - i) as bigint) as sum_u, {_R("sum(i) / sum(a + b - i)", 6)} as ciou, {_R("avg(coalesce(i / nullif(a + b - i, 0), 1))", 5)} as giou from r_""",
     "box_loss": f"""with {X.PREDS}, n_ as (select w, h, {", ".join(f"{_norm(c, 'w' if 'x' in c else 'h')} as {c}" for c in ("x1", "y1", "x2", "y2", "px1", "py1", "px2", "py2"))} from preds_ where x2 >= x1 and y2 >= y1),
         t_ as (select w, h, abs(px1 - x1) + abs(py1 - y1) + abs(px2 - x2) + abs(py2 - y2) as l1, greatest(least(px2, x2) - greatest(px1, x1), 0) * greatest(least(py2, y2) - greatest(py1, y1), 0) as i, greatest(px2 - px1, 0) * greatest(py2 - py1, 0) + greatest(x2 - x1, 0) * greatest(y2 - y1, 0) as ab, (greatest(px2, x2) - least(px1, x1)) * (greatest(py2, y2) - least(py1, y1)) as hull from n_),
@@ -252,17 +257,29 @@ SQL = {
         s_ as (select e.vec_id as id, v_.label, {_R("list_cosine_similarity(cast(e.embedding as double[]), v_.c)", 6)} as sim from embeddings e cross join v_), r_ as (select *, row_number() over (partition by id order by sim desc, label) as r from s_)
         select id, label, sim from r_ where r = 1""",
     "moving_scores": f"""with {X.BOXES} select ann_id, {_R("median(score) over f", 6)} as median, {_R("avg(score) over f", 5)} as avg from boxes_ where category_id is not null and score is not null window f as (partition by category_id order by ann_id rows between 19 preceding and current row)""",
-    "detection_ap": f"""with {X.PREDS}, d_ as (select category_id, ann_id, score, case when {_iou_sql(("px1", "py1", "px2", "py2"), ("x1", "y1", "x2", "y2"))} >= 0.5 then 1 else 0 end as hit from preds_ where category_id is not null and score is not null),
-        r_ as (select *, row_number() over f as n, sum(hit) over f as tp, count(*) over (partition by category_id) as n_truth from d_ window f as (partition by category_id order by score desc, ann_id rows unbounded preceding)),
-        p_ as (select category_id, any_value(n_truth) as n_truth, list(struct_pack(p := tp / n, s := floor(tp * 100 / n_truth))) as c from r_ group by 1)
-        select category_id, n_truth, {_R("list_sum(list_transform(range(0, 101), lambda q: coalesce(list_max(list_transform(list_filter(c, lambda z: z.s >= q), lambda z: z.p)), 0))) / 101", 6)} as ap from p_""",
+    "detection_ap": f"""with recursive {X.PREDS}, b_ as (select * from preds_ where category_id is not null),
+        p_ as (select p.image_id || '#' || p.category_id as g, p.ann_id as i, p.score, t.ann_id as j, {_IOU} as iou from b_ p join b_ t on p.image_id = t.image_id and p.category_id = t.category_id where p.score is not null),
+        n_ as (select g, i, row_number() over (partition by g order by score desc, i) as k, c from (select g, i, any_value(score) as score, list(struct_pack(iou := iou, j := j) order by iou desc, j desc) as c from p_ where iou >= 0.5 group by g, i)),
+        t_ as (select unnest([{", ".join(str(t) for t in COCO)}]::double[]) as t),
+        m_ as (select g, t, cast(0 as bigint) as k, []::bigint[] as used, cast(null as bigint) as i, cast(null as bigint) as hit from (select distinct g from n_) cross join t_
+          union all select g, t, k, case when hit is null then used else list_append(used, hit) end, i, hit from (select m_.g, m_.t, n_.k, m_.used, n_.i, list_filter(n_.c, lambda x: x.iou >= m_.t and not list_contains(m_.used, x.j))[1].j as hit from m_ join n_ on n_.g = m_.g and n_.k = m_.k + 1)),
+        h_ as (select i, t from m_ where hit is not null), u_ as (select category_id, count(*) as n_truth from b_ group by 1),
+        x_ as (select b_.category_id, t_.t, b_.score, b_.ann_id, case when h_.i is not null then 1 else 0 end as hit from b_ cross join t_ left join h_ on h_.i = b_.ann_id and h_.t = t_.t where b_.score is not null),
+        r_ as (select x_.category_id, t, hit, row_number() over f as n, sum(hit) over f as tp from x_ window f as (partition by x_.category_id, t order by score desc, ann_id rows unbounded preceding)),
+        q_ as (select r_.category_id, t, any_value(n_truth) as n_truth, max(tp) as found, list(struct_pack(p := tp / n, s := floor(tp * 100 / n_truth))) as c from r_ join u_ on r_.category_id = u_.category_id group by 1, 2),
+        a_ as (select category_id, t, found, list_sum(list_transform(range(0, 101), lambda q: coalesce(list_max(list_transform(list_filter(c, lambda z: z.s >= q), lambda z: z.p)), 0))) / 101 as ap from q_)
+        select u_.category_id, any_value(u_.n_truth) as n_truth, {_R("coalesce(sum(ap), 0) / 10", 6)} as ap, {_R("coalesce(max(case when t = 0.5 then ap end), 0)", 6)} as ap50, {_R("coalesce(max(case when t = 0.75 then ap end), 0)", 6)} as ap75, {_R("coalesce(sum(found), 0) / (any_value(u_.n_truth) * 10)", 6)} as ar from u_ left join a_ on u_.category_id = a_.category_id group by u_.category_id""",
+    "greedy_match_recall": f"""with recursive {X.PREDS}, p_ as (select p.image_id || '#' || coalesce(cast(p.category_id as varchar), '') as g, p.ann_id as i, t.ann_id as j, {_IOU} as iou from preds_ p join preds_ t on p.image_id = t.image_id and p.category_id is not distinct from t.category_id),
+        n_ as (select g, i, j, iou, row_number() over (partition by g order by iou desc, i, j) as k from p_ where iou >= 0.5),
+        m_ as (select g, cast(0 as bigint) as k, []::bigint[] as ui, []::bigint[] as uj, cast(null as bigint) as j, cast(null as double) as iou from (select distinct g from n_)
+          union all select g, k, case when ok then list_append(ui, i) else ui end, case when ok then list_append(uj, j) else uj end, case when ok then j end, case when ok then iou end from (select m_.g, n_.k, m_.ui, m_.uj, n_.i, n_.j, n_.iou, not list_contains(m_.ui, n_.i) and not list_contains(m_.uj, n_.j) as ok from m_ join n_ on n_.g = m_.g and n_.k = m_.k + 1))
+        select b.category_id, count(*) as n_truth, count(m_.j) as n_match, {_R("count(m_.j) / count(*)", 6)} as recall, {_R("coalesce(sum(m_.iou), 0)", 4)} as sum_iou from preds_ b left join m_ on m_.j = b.ann_id group by b.category_id""",
 }
-SQL["cider_scores"] = f"""{_ANSWERS}, w_ as (select sample_id || '#' || round_idx as k, {_WORDS.format('pred')} as p, {_WORDS.format('target')} as t from a_ where pred is not null),
-  g_ as (select k, 'p' as s, 1 as n, unnest(p) as g from w_ union all select k, 't', 1, unnest(t) from w_ union all select k, 'p', 2, unnest(list_transform(range(1, len(p)), lambda i: p[i] || ' ' || p[i + 1])) from w_ union all select k, 't', 2, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) from w_),
+SQL["cider_scores"] = f"""{_ANSWERS}, w_ as (select sample_id || '#' || round_idx as k, {_WORDS.format('pred')} as p, {_WORDS.format('target')} as t from a_ where pred is not null), {_GRAMS},
   c_ as (select k, n, g, count_if(s = 'p') as cp, count_if(s = 't') as ct from g_ group by 1, 2, 3), f_ as (select n, g, count(*) as df from c_ where ct > 0 group by 1, 2), i_ as (select c_.*, ln((select count(*) from w_) / greatest(coalesce(df, 0), 1)) as idf from c_ left join f_ on c_.n = f_.n and c_.g = f_.g),
-  v_ as (select k, n, sum(least(cp, ct) * ct * idf * idf) as dot, sqrt(sum(pow(cp * idf, 2))) as np, sqrt(sum(pow(ct * idf, 2))) as nt from i_ group by 1, 2), s_c as (select k, sum(coalesce(dot / nullif(np * nt, 0), 0)) / 2 * 10 as s from v_ group by 1),
+  v_ as (select k, n, sum(least(cp, ct) * ct * idf * idf) as dot, sqrt(sum(pow(cp * idf, 2))) as np, sqrt(sum(pow(ct * idf, 2))) as nt from i_ group by 1, 2), s_c as (select k, sum(coalesce(dot / nullif(np * nt, 0), 0)) / 4 * 10 as s from v_ group by 1),
   r_ as (select coalesce(s, 0) * exp(-pow(len(p) - len(t), 2) / cast(72 as double)) as c from w_ left join s_c on w_.k = s_c.k)
   select count(*) as n, {_R("avg(c)", 5)} as mean, {_R("max(c)", 4)} as most from r_"""
-SQL["point_masks"] = f"""with {X.BOXES}, q_ as (select ann_id, cast(floor(w / 10) as int) as mw, cast(floor(h / 10) as int) as mh, cast(floor((x1 + x2) / 2 / 10) as int) as cx, cast(floor((y1 + y2) / 2 / 10) as int) as cy from boxes_),
-  d_ as (select *, unnest(range(-4, 5)) as dx from q_), n_ as (select ann_id, case when cx + dx >= 0 and cx + dx < mw then greatest(least(cy + floor(sqrt(16 - dx * dx)) + 1, mh) - greatest(cy - floor(sqrt(16 - dx * dx)), 0), 0) else 0 end as n from d_)
+SQL["point_masks"] = f"""with {X.BOXES}, q_ as (select ann_id, cast(w as int) as mw, cast(h as int) as mh, cast(floor((x1 + x2) / 2) as int) as cx, cast(floor((y1 + y2) / 2) as int) as cy from boxes_),
+  d_ as (select *, unnest(range({-RADIUS}, {RADIUS + 1})) as dx from q_), n_ as (select ann_id, case when cx + dx >= 0 and cx + dx < mw then greatest(least(cy + floor(sqrt({RADIUS * RADIUS} - dx * dx)) + 1, mh) - greatest(cy - floor(sqrt({RADIUS * RADIUS} - dx * dx)), 0), 0) else 0 end as n from d_)
   select ann_id, cast(sum(n) as int) as n_pixels, cast(sum(n) as int) as n_square from n_ group by ann_id"""

@@ -13,33 +13,38 @@ def _tables(spark: SparkSession, d: str) -> FlatTables:
     return FlatTables(table(spark, d, "raw_records", "raw_id", "loaded_at", "payload")).materialised()
 
 
+def _named(df: DataFrame, *identities: str) -> DataFrame:
+    """Identities as text."""
+    return df.withColumns({c: F.lower(F.hex(c)) for c in identities})
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _tables(spark, d).unit_rows().select("raw_id", "turn_idx", "task_idx", "unit_idx")
 
 
 def p4_objects(spark: SparkSession, d: str) -> DataFrame:
     """The distinct objects, each with its identity."""
-    return _tables(spark, d).nodes.select("node", "content", "fields", "role", "has_task", "has_unit")
+    return _named(_tables(spark, d).nodes, "node").select("node", "content", "fields", "role", "has_task", "has_unit")
 
 
 def p4_links(spark: SparkSession, d: str) -> DataFrame:
     """Bridge rows: the places of children in their parents."""
-    return _tables(spark, d).edges
+    return _named(_tables(spark, d).edges, "parent", "child").drop("system")
 
 
 def p4_records(spark: SparkSession, d: str) -> DataFrame:
     """One row per readable record with the identity of its payload."""
-    return _tables(spark, d).roots
+    return _named(_tables(spark, d).roots, "node")
 
 
 def p4_turns(spark: SparkSession, d: str) -> DataFrame:
     """Turns with the key of their record."""
-    return _tables(spark, d).turns()
+    return _named(_tables(spark, d).turns(), "node")
 
 
 def p4_task_entries(spark: SparkSession, d: str) -> DataFrame:
     """Task entries with the keys of record and turn."""
-    return _tables(spark, d).task_entries()
+    return _named(_tables(spark, d).task_entries(), "entry")
 
 
 def p4_units(spark: SparkSession, d: str) -> DataFrame:

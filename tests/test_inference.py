@@ -5,23 +5,44 @@ from pyspark.sql import functions as F
 from annospark.operators import inference as I
 
 
-def scores(*rows):
-    return np.array(rows, float)
-
-
-def test_maps():
-    masks = np.full((3, 2, 4), -9.0)
-    masks[0, :, :2], masks[1, :, 2:], masks[2, :, 1:3] = 9.0, 9.0, 9.0
-    classes = scores([5, -5, -5], [-5, 5, -5], [-5, -5, 5])
-    seg, info = I.panoptic_map(classes, masks, {0})
-    assert info == [(1, 0, True), (2, 1, False)] and seg.tolist() == [[1, 1, 2, 2]] * 2
-    assert I.panoptic_map(scores([-5, 5]), masks[:1], {0})[1] == []
-    sem = I.semantic_map(classes, masks)
-    assert sem.shape == (2, 2, 4) and sem[0, 0, 0] > 0.9 and sem[1, 0, 3] > 0.9
-    twice = I.panoptic_map(scores([-5, 5, -5], [-5, 5, -5]), masks[:2], {0})
-    assert twice[1] == [(1, 1, False)] and (twice[0] == 1).all()
-    found = I.instances(classes, masks, {0, 1}, 2)
-    assert [x[1] for x in found] == [0, 1] and all(0.9 < x[0] < 1 for x in found)
+PICTURE = "image_id long, h int, w int, classes array<array<double>>, masks array<array<double>>"
+
+
+def raw(spark, *pictures):
+    return spark.createDataFrame([(k, h, w, [list(map(float, c)) for c in cs] if cs is not None else None, [list(map(float, m)) for m in ms] if ms is not None else None) for k, h, w, cs, ms in pictures], PICTURE)
+
+
+def test_scores_of_pictures(spark):
+    left, right, middle = [9, 9, -9, -9] * 2, [-9, -9, 9, 9] * 2, [-9, 9, 9, -9] * 2
+    df = raw(spark, (1, 2, 4, [[5, -5, -5], [-5, 5, -5], [-5, -5, 5]], [left, right, middle]), (2, 2, 4, [[-5, 5, -5], [-5, 5, -5]], [left, right]), (3, 2, 4, [[-5, 5]], [left]), (4, 2, 2, None, None), (5, 2, 4, [[5, -5], [4, -5]], [[9] * 8, left]))
+    seg = sorted((r.image_id, r.segment, r.category_id, r.thing, list(r.pixels)) for r in I.panoptic_segments(df, [0]).collect())
+    assert seg == [(1, 0, 0, True, [0, 1, 4, 5]), (1, 1, 1, False, [2, 3, 6, 7]), (2, 0, 1, False, list(range(8))), (5, 0, 0, True, list(range(8)))]
+    sem = {(r.image_id, r.pixel): r for r in I.semantic_labels(df).collect()}
+    assert sem[1, 0].category_id == 0 and sem[1, 3].category_id == 1 and sem[1, 0].score > 0.9 and len(sem) == 32
+    found = sorted((r.image_id, r.query, r.category_id, round(r.score, 3), list(r.counts)) for r in I.instance_rows(df, [0, 1], 2).where("image_id = 1").collect())
+    assert found == [(1, 0, 0, 0.993, [0, 4, 4]), (1, 1, 1, 0.993, [4, 4])]
+
+
+def test_segments_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    pictures = [(k, 3, 4, rng.normal(0, 3, (5, 4)), rng.normal(0, 2, (5, 12))) for k in range(25)]
+    got = {(r.image_id, r.segment, r.category_id, tuple(r.pixels)) for r in I.panoptic_segments(raw(spark, *pictures), [0, 1], 0.5).collect()}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    want = set()
+    for k, _, _, c, m in pictures:
+        live = [q for q in range(5) if c[q].argmax() < 3]
+        won = {q: [p for p in range(12) if max(live, key=lambda z: sig(c[z].max()) * sig(m[z][p])) == q] for q in live}  # noqa: B023
+        merged = {}
+        for q in live:
+            mine = tuple(p for p in won[q] if m[q][p] >= 0)
+            if mine and len(won[q]) / (m[q] >= 0).sum() >= 0.5:
+                label = int(c[q].argmax())
+                merged.setdefault((label, q if label < 2 else None), []).append((q, mine))
+        want |= {(k, min(q for q, _ in v), label, tuple(sorted(p for _, ps in v for p in ps))) for (label, _), v in merged.items()}
+    assert got == want
+
+
+def test_stroke_box():
     before = np.zeros((4, 4))
     after = before.copy()
     after[1:3, 0:4] = 1
