@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,9 +61,39 @@ def test_classifier_on_held_out_rows(spark, samples):
     rows = labelled.collect()
     model = M.TaskModel([(r.task, r.hint) for r in rows if r.sample_id % 2])
     held = [r for r in rows if r.sample_id % 2 == 0]
-    best = [max(model.posterior(r.hint), key=lambda x: x[1])[0] for r in held]
+    best = [model.tasks[k] for k in model.posteriors([r.hint for r in held]).argmax(1)]
     assert sum(a == r.task for a, r in zip(best, held, strict=True)) >= 0.95 * len(held)
-    assert abs(sum(p for _, p in model.posterior("anything")) - 1) < 1e-9
+    assert abs(model.posteriors(["anything", ""]).sum(1) - 1).max() < 1e-9
+
+
+def test_every_share_within_one_record(spark, samples):
+    """Many small groups of equal rates: nothing is lost by rounding."""
+    t = targets(spark, [("t", None, "vqa", 0.6, 1), ("t", None, "detection", 0.3, 2), ("t", None, "gcg segmentation", 0.1, 9)])
+    report = M.mix_sources(samples, t)[1].collect()
+    size = sum(r.taken for r in report)
+    assert all(abs(r.taken - r.target_share * size) <= 1.01 for r in report) and all(r.fit_distance < 0.01 for r in report)
+
+
+def test_size_column(spark, samples):
+    t = targets(spark, [("m", "hot", None, 0.5, 1), ("m", "mid", None, 0.5, 2)])
+    weighted = samples.withColumn("tokens", F.when(F.col("source") == "mid", 10).otherwise(1))
+    by = {r.domain: r for r in M.mix_sources(weighted, t, size="tokens")[1].collect()}
+    assert abs(by["hot"].taken - 10 * by["mid"].taken) <= 10 and abs(by["hot"].actual_share - 0.5) < 0.01
+
+
+def test_projection_after_every_step():
+    m = M.Mix("m", "task", ["a", "b"], ["a", "b"], [0.5, 0.5], [1, 1])
+    m.steps = [np.array([3.0, -1.0]), np.array([-0.4, 0.2])]
+    # up to the cap of 1, then back by 0.4: not the 1 that the clipped sum of both steps would give
+    assert abs(m.rate(np.array([[1.0, 0.0]]), np.ones(1))[0] - 0.6) < 1e-12
+
+
+def test_running_repeats(spark):
+    rows = [("g", k, 300_000_000 + k % 7) for k in range(1000)] + [("h", k, 2_500_000_000) for k in range(3)]
+    got = M.running_repeats(spark.createDataFrame(rows, "g string, k long, units long"), ["g"], "k", "units").collect()
+    g = [r.repeats for r in got if r.g == "g"]
+    assert sum(g) == round(sum(u for n, _, u in rows if n == "g") / M.UNIT) and set(g) == {0, 1}
+    assert sorted(r.repeats for r in got if r.g == "h") == [2, 3, 3]
 
 
 def test_empty(spark, samples):
