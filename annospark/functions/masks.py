@@ -1,16 +1,18 @@
 """Masks as run lengths, never as dense arrays in a table.
 
 A mask is ``struct<h int, w int, counts array<int>>``: runs in column order, the
-first of zeros. Rectangles and discs have closed forms, areas and boxes are folds
-over runs with a few numbers as state; whatever needs the places of all runs adds
-them up once in a vectorised function. Everything is linear in the runs. Polygons,
-compressed strings and resampling go to vectorised Python.
+first of zeros. Rectangles have a closed form as an expression. What needs the
+places of runs (areas, boxes, overlaps, discs, padding) works on the runs of a whole
+Arrow batch at once, as flat arrays without a loop over rows, and is linear in the
+runs. Polygons, compressed strings and resampling go to vectorised Python.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
@@ -24,25 +26,6 @@ def _mask(h: Column, w: Column, counts: Column) -> Column:
     return F.struct(h.cast("int").alias("h"), w.cast("int").alias("w"), counts.cast("array<int>").alias("counts"))
 
 
-def _from_spans(starts: Column, ends: Column, size: Column) -> Column:
-    """Counts of rising half-open spans; spans that touch are joined, empty ones must be gone."""
-
-    def joined(se: Column) -> Column:
-        a, b = se["a"], se["b"]
-        first = F.filter(a, lambda x, i: (i == 0) | (F.get(b, i - 1) != x))
-        last = F.filter(b, lambda x, i: (i == F.size(b) - 1) | (F.get(a, i + 1) != x))
-        return F.struct(first.alias("a"), last.alias("b"))
-
-    def counts(se: Column) -> Column:
-        a, b = se["a"], se["b"]
-        runs = F.flatten(F.transform(a, lambda x, i: F.array(x - F.when(i == 0, F.lit(0)).otherwise(F.get(b, i - 1)), F.get(b, i) - x)))
-        tail = size - F.coalesce(F.get(b, F.size(b) - 1), F.lit(0))
-        return F.concat(runs, F.when((tail > 0) | (F.size(a) == 0), F.array(tail)).otherwise(F.array().cast("array<int>")))
-
-    spans = F.struct(starts.cast("array<int>").alias("a"), ends.cast("array<int>").alias("b"))
-    return let(let(spans, joined), counts)
-
-
 def from_pixels(pixels: Column, h: Column, w: Column) -> Column:
     """A mask from its pixels in column order (M7): the lengths between changes."""
 
@@ -72,52 +55,115 @@ def box_mask(box: Column, w: Column, h: Column) -> Column:
     return _mask(h, w, let(corners, body))
 
 
-def disc_mask(x: Column, y: Column, radius: int, w: Column, h: Column) -> Column:
-    """A disc around a point (M2): the chord of each column it touches."""
-    none = F.array().cast("array<struct<a:int,b:int>>")
+class _Flat:
+    """The runs of a batch of masks as flat arrays."""
+
+    def __init__(self, masks: pa.StructArray):
+        counts = masks.field("counts")
+        self.valid = masks.is_valid().to_numpy(zero_copy_only=False) & counts.is_valid().to_numpy(zero_copy_only=False)
+        self.h, self.w = (pc.fill_null(masks.field(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in "hw")
+        self.n = np.where(self.valid, pc.fill_null(pc.list_value_length(counts), 0).to_numpy(zero_copy_only=False), 0).astype(np.int64)
+        # lists behind a null hold nothing that counts
+        self.runs = pc.fill_null(pc.list_flatten(counts.filter(pa.array(self.valid))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.row = np.repeat(np.arange(len(self.n)), self.n)
+        self.first = np.cumsum(self.n) - self.n
+        at = np.arange(len(self.runs)) - self.first[self.row]
+        whole = np.cumsum(self.runs)
+        self.end = whole - np.where(self.first > 0, whole[self.first - 1] if len(whole) else 0, 0)[self.row] if len(whole) else whole
+        self.set = at % 2 == 1
+
+    def sums(self, values: np.ndarray, row: np.ndarray | None = None) -> np.ndarray:
+        return np.bincount(self.row if row is None else row, values, len(self.n)).astype(np.int64)
+
+    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, begin and end of every run of set pixels."""
+        some = self.set & (self.runs > 0)
+        return self.row[some], self.end[some] - self.runs[some], self.end[some]
+
+    def null(self) -> np.ndarray:
+        return ~self.valid
+
+
+def _of_spans(row: np.ndarray, a: np.ndarray, b: np.ndarray, h: np.ndarray, w: np.ndarray, null: np.ndarray) -> pa.StructArray:
+    """Masks of rising half-open spans, grouped by row; spans that touch are joined."""
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (a[1:] != b[:-1])
+    last = np.append(new[1:], True) if len(new) else new
+    row, a, b = row[new], a[new], b[last]
+    k = np.bincount(row, minlength=len(h))
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = row[1:] != row[:-1]
+    before = np.where(fresh, 0, np.concatenate([[0], b[:-1]])) if len(b) else b
+    done = np.zeros(len(h), np.int64)
+    done[row] = b
+    tail = h * w - done
+    more = (tail > 0) | (k == 0)
+    n = np.where(null, 0, 2 * k + more)
+    at = np.cumsum(n) - n
+    out = np.zeros(int(n.sum()), np.int32)
+    place = at[row] + 2 * (np.arange(len(row)) - (np.cumsum(k) - k)[row])
+    out[place], out[place + 1] = a - before, b - a
+    closing = more & ~null
+    out[(at + n - 1)[closing]] = tail[closing]
+    lists = pa.ListArray.from_arrays(pa.array(np.append(at, n.sum()).astype(np.int32)), pa.array(out))
+    return pa.StructArray.from_arrays([pa.array(h.astype(np.int32)), pa.array(w.astype(np.int32)), lists], ["h", "w", "counts"], mask=pa.array(null))
+
+
+def _numbers(*columns: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """Columns as whole numbers, and where any is null."""
+    null = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        null |= c.is_null().to_numpy(zero_copy_only=False)
+    return [np.floor(pc.fill_null(c, 0).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64) for c in columns], null
 
-    def chords(c: Column) -> Column:
-        left, right = F.greatest(c["x"] - radius, F.lit(0)), F.least(c["x"] + radius, w - 1)
 
-        def chord(i: Column) -> Column:
-            half = F.floor(F.sqrt(F.lit(radius * radius) - (i - c["x"]) * (i - c["x"]))).cast("int")
-            return F.struct((i * h + F.greatest(c["y"] - half, F.lit(0))).cast("int").alias("a"), (i * h + F.least(c["y"] + half + 1, h)).cast("int").alias("b"))
+def disc_mask(x: Column, y: Column, radius: int, w: Column, h: Column) -> Column:
+    """A disc around a point (M2): the chord of each column it touches."""
 
-        return F.filter(F.when(left <= right, F.transform(F.sequence(left, right), chord)).otherwise(none), lambda s: s["b"] > s["a"])
+    def discs(x: pa.Array, y: pa.Array, w: pa.Array, h: pa.Array) -> pa.Array:
+        (cx, cy, width, height), null = _numbers(x, y, w, h)
+        dx = np.arange(-radius, radius + 1)
+        half = np.floor(np.sqrt(radius * radius - dx * dx)).astype(np.int64)
+        column = cx[:, None] + dx
+        top, low = np.maximum(cy[:, None] - half, 0), np.minimum(cy[:, None] + half + 1, height[:, None])
+        row, k = np.nonzero((column >= 0) & (column < width[:, None]) & (low > top) & ~null[:, None])
+        at = column[row, k] * height[row]
+        return _of_spans(row, at + top[row, k], at + low[row, k], height, width, null)
 
-    centre = F.struct(F.floor(x).cast("int").alias("x"), F.floor(y).cast("int").alias("y"))
-    counts = let(let(centre, chords), lambda s: _from_spans(F.transform(s, lambda v: v["a"]), F.transform(s, lambda v: v["b"]), (w * h).cast("int")))
-    return _mask(h, w, counts)
+    return F.arrow_udf(discs, MASK)(x, y, w, h)
 
 
-def area(mask: Column) -> Column:
-    """Number of set pixels."""
-    return F.aggregate(F.transform(mask["counts"], lambda n, i: F.when(i % 2 == 1, n).otherwise(0)), F.lit(0), lambda s, n: s + n)
+def _areas(masks: pa.Array) -> pa.Array:
+    m = _Flat(masks)
+    return pa.array(m.sums(np.where(m.set, m.runs, 0)), pa.int64(), mask=m.null())
 
 
-def _ends(counts: pd.Series) -> pd.Series:
-    return counts.map(lambda c: None if c is None else np.cumsum(np.asarray(c, np.int64)).astype(np.int32))
+#: Number of set pixels.
+area = F.arrow_udf(_areas, LongType())
 
 
-#: Where each run ends.
-run_ends = F.pandas_udf(_ends, ArrayType(IntegerType()))
+def _common(a: _Flat, b: _Flat) -> np.ndarray:
+    """Set pixels of both masks of each row: the set pixels of one before each edge of the other."""
+    size = int(max(a.end.max(initial=0), b.end.max(initial=0))) + 1
+    before = np.cumsum(np.where(b.set, b.runs, 0))
+    base = np.where(b.first > 0, before[b.first - 1] if len(before) else 0, 0) if len(before) else np.zeros(len(b.n), np.int64)
 
+    def upto(row: np.ndarray, at: np.ndarray) -> np.ndarray:
+        k = np.minimum(np.searchsorted(b.row * size + b.end, row * size + at), len(b.row) - 1)
+        inside = b.row[k] == row
+        return np.where(inside, before[k] - base[row] - np.where(b.set[k], b.end[k] - at, 0), 0)
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Pixels that two masks, given by where their runs end, both set: the set pixels of one before each edge of the other."""
-    before = np.concatenate([[0], np.cumsum(np.diff(np.concatenate([[0], b])) * (np.arange(len(b)) % 2))])
-    upto = np.interp(a, np.concatenate([[0], b]), before)
-    n = len(a) // 2 * 2
-    return int(round(float(upto[1:n:2].sum() - upto[0:n:2].sum())))
+    row, lo, hi = a.spans()
+    return a.sums(upto(row, hi) - upto(row, lo), row) if len(row) and len(b.row) else np.zeros(len(a.n), np.int64)
 
 
-def _intersections(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
-    rows = zip(a["counts"], b["counts"], strict=True)
-    return pd.Series([None if x is None or y is None else _common(np.cumsum(np.asarray(x, np.int64)), np.cumsum(np.asarray(y, np.int64))) for x, y in rows], dtype="Int64")
+def _intersections(a: pa.Array, b: pa.Array) -> pa.Array:
+    x, y = _Flat(a), _Flat(b)
+    return pa.array(_common(x, y), pa.int64(), mask=x.null() | y.null())
 
 
-#: Pixels set in both masks.
-intersection = F.pandas_udf(_intersections, LongType())
+#: Pixels set in both masks, which are of one size.
+intersection = F.arrow_udf(_intersections, LongType())
 
 
 def iou(a: Column, b: Column) -> Column:
@@ -126,54 +172,61 @@ def iou(a: Column, b: Column) -> Column:
     return F.try_divide(both.cast("double"), (area(a) + area(b) - both).cast("double"))
 
 
-def _matrix(a: pd.Series, b: pd.Series) -> pd.Series:
-    def one(xs: list | None, ys: list | None) -> list | None:
-        if xs is None or ys is None:
-            return None
-        ex, ey = ([np.cumsum(np.asarray(m["counts"], np.int64)) for m in ms] for ms in (xs, ys))
-        sx, sy = ([int(np.diff(np.concatenate([[0], e]))[1::2].sum()) for e in es] for es in (ex, ey))
-        both = [[_common(p, q) for q in ey] for p in ex]
-        return [[c / (m + n - c) if m + n - c else None for c, n in zip(row, sy, strict=True)] for row, m in zip(both, sx, strict=True)]
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+def _matrix(a: pa.Array, b: pa.Array) -> pa.Array:
+    sizes = [np.where(x.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False), 0).astype(np.int64) for x in (a, b)]
+    at = [np.cumsum(n) - n for n in sizes]
+    flat = [pc.list_flatten(x) for x in (a, b)]
+    each = sizes[0] * sizes[1]
+    row = np.repeat(np.arange(len(each)), each)
+    k = np.arange(len(row)) - (np.cumsum(each) - each)[row]
+    i, j = at[0][row] + k // np.maximum(sizes[1][row], 1), at[1][row] + k % np.maximum(sizes[1][row], 1)
+    x, y = (_Flat(f.take(pa.array(t))) for f, t in zip(flat, (i, j), strict=True))
+    both = _common(x, y)
+    union = x.sums(np.where(x.set, x.runs, 0)) + y.sums(np.where(y.set, y.runs, 0)) - both
+    values = pa.array(both / np.maximum(union, 1), mask=union == 0)
+    inner = np.repeat(sizes[1], sizes[0])
+    lines = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(inner)).astype(np.int32)), values)
+    null = pa.array(a.is_null().to_numpy(zero_copy_only=False) | b.is_null().to_numpy(zero_copy_only=False))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes[0])).astype(np.int32)), lines, mask=null)
 
 
 #: Overlap of every mask of one array with every mask of another (M11); null for two empty ones.
-iou_matrix = F.pandas_udf(_matrix, ArrayType(ArrayType(DoubleType())))
-
-
-def bounds(mask: Column) -> Column:
-    """Box around the set pixels (M16), null for an empty mask."""
-    h = mask["h"]
-    kind = "struct<at:int,one:boolean,x1:int,y1:int,x2:int,y2:int>"
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("one"), *[F.lit(None).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")]).cast(kind)
-
-    def step(s: Column, n: Column) -> Column:
-        end = s["at"] + n - 1
-        crosses = F.floor(s["at"] / h) != F.floor(end / h)
-        top, low = F.when(crosses, F.lit(0)).otherwise(s["at"] % h), F.when(crosses, h - 1).otherwise(end % h)
-        seen = s["one"] & (n > 0)
-        part = lambda c, new: F.when(seen, new).otherwise(s[c]).cast("int").alias(c)
-        return F.struct((s["at"] + n).alias("at"), (~s["one"]).alias("one"), part("x1", F.coalesce(s["x1"], F.floor(s["at"] / h).cast("int"))), part("y1", F.least(s["y1"], top)), part("x2", F.floor(end / h).cast("int")), part("y2", F.greatest(s["y2"], low)))
-
-    return F.aggregate(mask["counts"], start, step, lambda s: F.when(s["x1"].isNotNull(), F.array(*[s[c].cast("double") for c in ("x1", "y1", "x2", "y2")])))
-
-
-def expand_square(mask: Column) -> Column:
-    """The mask in the padded square (M3, M4)."""
-    h, w = mask["h"], mask["w"]
-    side = F.greatest(h, w)
-    left, top = F.floor((side - w) / 2), F.floor((side - h) / 2)
-
-    def pieces(e: Column) -> Column:
-        # set runs, cut where they pass from one column to the next
-        columns = lambda k: F.sequence(F.floor(F.get(e, 2 * k) / h), F.floor((F.get(e, 2 * k + 1) - 1) / h))
-        cut = lambda k: F.transform(columns(k), lambda x: F.struct(((x + left) * side + top + F.greatest(F.get(e, 2 * k) - x * h, F.lit(0))).cast("int").alias("a"), ((x + left) * side + top + F.least(F.get(e, 2 * k + 1) - x * h, h)).cast("int").alias("b")))
-        runs = F.filter(F.sequence(F.lit(0), F.greatest(F.floor(F.size(e) / 2).cast("int"), F.lit(0))), lambda k: F.get(e, 2 * k + 1) > F.get(e, 2 * k))
-        return F.flatten(F.transform(runs, cut))
-
-    counts = let(let(run_ends(mask["counts"]), pieces), lambda s: _from_spans(F.transform(s, lambda v: v["a"]), F.transform(s, lambda v: v["b"]), (side * side).cast("int")))
-    return _mask(side, side, counts)
+iou_matrix = F.arrow_udf(_matrix, ArrayType(ArrayType(DoubleType())))
+
+
+def _bounds(masks: pa.Array) -> pa.Array:
+    m = _Flat(masks)
+    row, a, b = m.spans()
+    h = np.maximum(m.h[row], 1)
+    left, right = a // h, (b - 1) // h
+    across = left != right
+    out = np.full((len(m.n), 4), np.nan)
+    for k, (values, pick) in enumerate(((left, np.fmin), (np.where(across, 0, a % h), np.fmin), (right, np.fmax), (np.where(across, h - 1, (b - 1) % h), np.fmax))):
+        pick.at(out[:, k], row, values.astype(float))
+    empty = np.isnan(out[:, 0])
+    return pa.FixedSizeListArray.from_arrays(pa.array(np.where(np.isnan(out), 0, out).ravel()), 4, mask=pa.array(empty)).cast(pa.list_(pa.float64()))
+
+
+#: Box around the set pixels (M16), null for an empty mask.
+bounds = F.arrow_udf(_bounds, ArrayType(DoubleType()))
+
+
+def _squared(masks: pa.Array) -> pa.Array:
+    m = _Flat(masks)
+    row, a, b = m.spans()
+    h = np.maximum(m.h[row], 1)
+    # set runs, cut where they pass from one column to the next
+    n = (b - 1) // h - a // h + 1
+    piece = np.repeat(np.arange(len(row)), n)
+    column = (a // h)[piece] + np.arange(len(piece)) - (np.cumsum(n) - n)[piece]
+    row, h = row[piece], h[piece]
+    side = np.maximum(m.h, m.w)
+    base = (column + ((side - m.w) // 2)[row]) * side[row] + ((side - m.h) // 2)[row]
+    return _of_spans(row, base + np.maximum(a[piece] - column * h, 0), base + np.minimum(b[piece] - column * h, h), side, side, m.null())
+
+
+#: The mask in the padded square (M3, M4).
+expand_square = F.arrow_udf(_squared, MASK)
 
 
 def pixel_area(w: Column, h: Column) -> Column:

@@ -146,7 +146,7 @@ def _box_masks(spark: SparkSession, d: str) -> DataFrame:
 def mask_rle(spark: SparkSession, d: str) -> DataFrame:
     """Run lengths, area and bounds of box masks."""
     m = _box_masks(spark, d).select("ann_id", "t")
-    return m.select("ann_id", F.size("t.counts").alias("n_runs"), M.area(F.col("t")).alias("n_pixels"), F.array_join(F.transform(M.bounds(F.col("t")), lambda x: x.cast("int").cast("string")), ",").alias("bounds"))
+    return m.select("ann_id", F.size("t.counts").alias("n_runs"), M.area(F.col("t")).cast("int").alias("n_pixels"), F.array_join(F.transform(M.bounds(F.col("t")), lambda x: x.cast("int").cast("string")), ",").alias("bounds"))
 
 
 def res_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -166,7 +166,7 @@ def point_masks(spark: SparkSession, d: str) -> DataFrame:
     c = G.xyxy_to_center(F.col("box"))
     disc = M.disc_mask(F.get(c, F.lit(0)), F.get(c, F.lit(1)), RADIUS, F.col("w").cast("int"), F.col("h").cast("int"))
     m = b.select("ann_id", disc.alias("m"))
-    return m.select("ann_id", M.area(F.col("m")).alias("n_pixels"), M.area(M.expand_square(F.col("m"))).alias("n_square"))
+    return m.select("ann_id", M.area(F.col("m")).cast("int").alias("n_pixels"), M.area(M.expand_square(F.col("m"))).cast("int").alias("n_square"))
 
 
 def oks_score(spark: SparkSession, d: str) -> DataFrame:
