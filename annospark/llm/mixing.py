@@ -54,10 +54,12 @@ BITS = 1 << 14
 EPOCHS, RATE = 6, 0.5
 #: Most steps of the least-squares fit, and the distance, relative to the mix, at which it ends; the report gives the distance reached.
 ROUNDS, CLOSE = 200, 1e-4
+#: A step that leaves more than this part of the distance is the last: what then remains lies at the caps.
+STALLED = 0.95
 #: Rates and sums of them are counted in this part of a repeat.
 UNIT = 1_000_000_000
 #: Times the rates of a domain are scaled towards its target while samples stop at their caps.
-SCALINGS = 4
+SCALINGS = 12
 
 
 def normal_task(task: Column) -> Column:
@@ -176,13 +178,15 @@ class Mix:
         both = [(tasks.index(d), k) for k, d in enumerate(self.domains) if d in tasks]
         return np.array([a for a, _ in both], int), np.array([b for _, b in both], int)
 
-    def soft(self, posteriors: np.ndarray, tasks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Posteriors over the mix's domains, and caps: those of the likeliest domain, under which the sample counts."""
+    def soft(self, posteriors: np.ndarray, tasks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Posteriors over the mix's domains, caps, and the likeliest domain, under which a sample counts: -1, with a cap of 0, where that is none of the mix's."""
         there, here = self.columns(tasks)
         p = np.zeros((len(posteriors), len(self.domains)))
         p[:, here] = posteriors[:, there]
-        likely = p.argmax(1)
-        return p, np.where(p.max(1) > 0, self.cap[likely], 0.0) if len(self.domains) else np.zeros(len(p))
+        of = np.full(len(tasks), -1)
+        of[there] = here
+        likely = of[posteriors.argmax(1)]
+        return p, np.where(likely >= 0, self.cap[likely], 0.0), likely
 
 
 def read_mixes(targets: DataFrame) -> list[Mix]:
@@ -213,9 +217,9 @@ def _soft_totals(member: DataFrame, mixes: list[Mix], tasks: list[str]) -> dict[
                 continue
             posteriors, size = np.stack(pdf["p"].to_list()), pdf["size"].to_numpy(float)
             for k, m in enumerate(mixes):
-                p, cap = m.soft(posteriors, tasks)
+                p, cap, _ = m.soft(posteriors, tasks)
                 totals[k] += (size * m.rate(p, cap)) @ p
-                curve[k] += (size * p.sum(1)) @ p
+                curve[k] += (size * (cap > 0) * p.sum(1)) @ p
         rows = [(k, d, totals[k][d], curve[k][d]) for k, m in enumerate(mixes) for d in range(len(m.domains))]
         yield pd.DataFrame(rows, columns=["mix", "domain", "total", "curve"])
 
@@ -229,26 +233,25 @@ def _soft_totals(member: DataFrame, mixes: list[Mix], tasks: list[str]) -> dict[
 
 def fit_rates(member: DataFrame, mixes: list[Mix], tasks: list[str], total: dict[str, float] | None = None) -> None:
     """Fit every mix: its steps, its goal per domain, and the distance reached."""
-    # one row per source or task that a mix lists
+    # one row per source or task that a mix lists, for samples that are sure and for others
     listed = sorted({d for m in mixes for d in m.domains})
-    hard = {(r["kind"], r["domain"]): r["size"] for r in member.where(F.col("p").isNull() & F.col("domain").isin(listed)).groupBy("kind", "domain").agg(F.sum("size").alias("size")).collect()} if listed else {}
-    supply = {m.name: np.array([hard.get((m.kind, d), 0.0) for d in m.domains]) for m in mixes}
+    known = {(r["kind"], r["domain"], r["sure"]): r["size"] for r in member.where(F.col("domain").isin(listed)).groupBy("kind", "domain", F.col("p").isNull().alias("sure")).agg(F.sum("size").alias("size")).collect()} if listed else {}
+    supply = {m.name: np.array([known.get((m.kind, d, True), 0.0) for d in m.domains]) for m in mixes}
     unsure = member.where(F.col("p").isNotNull())
     soft = [m for m in mixes if m.kind == "task" and m.domains] if tasks else []
 
     def expected() -> dict[str, tuple[np.ndarray, np.ndarray]]:
-        extra = _soft_totals(unsure, soft, tasks) if soft else {}
+        some = [m for m in soft if m in active]
+        extra = _soft_totals(unsure, some, tasks) if some else {}
         out = {}
-        for m in mixes:
+        for m in active:
             more = extra.get(m.name, (0.0, 0.0))
             own = supply[m.name] * m.rate(np.eye(len(m.domains)), m.cap)
             out[m.name] = own + more[0], supply[m.name] + more[1]
         return out
 
     for m in mixes:
-        m.steps = [np.full(len(m.domains), 1e9)]
-    for name, (full, _) in expected().items():  # every sample as often as its cap allows
-        m = next(x for x in mixes if x.name == name)
+        full = m.cap * (supply[m.name] + np.array([known.get((m.kind, d, False), 0.0) for d in m.domains]))  # every sample as often as its cap allows
         share = np.where(full > 0, m.share, 0)
         share = share / share.sum() if share.sum() > 0 else share
         able = share > 0
@@ -256,13 +259,12 @@ def fit_rates(member: DataFrame, mixes: list[Mix], tasks: list[str], total: dict
         m.goal, m.steps = share * float((total or {}).get(m.name, largest)), []
     active = list(mixes)
     for _ in range(ROUNDS):
-        soft = [m for m in soft if m in active]
         now = expected()
         for m in list(active):
             got, curve = now[m.name]
             gap = m.goal - got
             before, m.distance = m.distance, float(np.abs(gap).sum() / max(1.0, m.goal.sum()))
-            if m.distance < CLOSE or m.steps and abs(before - m.distance) < CLOSE / 100:
+            if m.distance < CLOSE or m.steps and m.distance > STALLED * before:
                 active.remove(m)
             else:
                 m.steps.append(np.where(curve > 0, gap / np.maximum(curve, 1e-9), 0.0))
@@ -317,9 +319,9 @@ def mix_sources(samples: DataFrame, targets: DataFrame, total: dict[str, float]
                 yield pd.DataFrame({"mix": k, "place": domain[some], "sample_id": hard["sample_id"].to_numpy()[some], "size": hard["size"].to_numpy(float)[some], "rate": one[domain[some]]})
                 soft = pdf[mine & ~sure]
                 if len(soft) and m.domains:
-                    p, cap = m.soft(np.stack(soft["p"].to_list()), tasks)
-                    some = p.max(1) > 0
-                    yield pd.DataFrame({"mix": k, "place": p.argmax(1)[some], "sample_id": soft["sample_id"].to_numpy()[some], "size": soft["size"].to_numpy(float)[some], "rate": m.rate(p, cap)[some]})
+                    p, cap, likely = m.soft(np.stack(soft["p"].to_list()), tasks)
+                    some = likely >= 0
+                    yield pd.DataFrame({"mix": k, "place": likely[some], "sample_id": soft["sample_id"].to_numpy()[some], "size": soft["size"].to_numpy(float)[some], "rate": m.rate(p, cap)[some]})
 
     rates = cut(member.mapInPandas(rated, "mix int, place int, sample_id long, size double, rate double"))
     scale = _scaled(rates, mixes)
