@@ -274,7 +274,7 @@ def cored_texts(parsed: DataFrame) -> DataFrame:
     affixes = learned_affixes(texts)
 
     def cored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in filter(len, batches):
             parts = [core_of(t, affixes) for t in pdf["text"]]
             yield pdf.assign(tokens=[t for t, _, _ in parts], core_at=[a for _, a, _ in parts], core_n=[n for _, _, n in parts], core=[" ".join(t[a : a + n]) for t, a, n in parts])
 

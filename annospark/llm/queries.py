@@ -13,8 +13,18 @@ from . import leakage, mixing, mojibake, overlap, packing, pairs
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents", "doc_id", "text", "lang")
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.defective_rounds(table(spark, d, "samples", "sample_id", "conversations"))
+    return pairs.defective_rounds(table(spark, d, "samples", "sample_id", "conversations"), _labelled(spark, d))
+
+
+def p1_defects(spark: SparkSession, d: str) -> DataFrame:
+    """Every defect of every defective round, one row each."""
+    found = pairs.round_defects(table(spark, d, "samples", "sample_id", "conversations"), _labelled(spark, d))
+    return found.select("sample_id", "round_idx", F.posexplode("defects").alias("place", "defect"))
 
 
 def p1_by_source(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +90,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
     """Leaked items and documents holding them, per benchmark and split."""
     items = table(spark, d, "eval_items", "item_id", "benchmark", "split")
-    return _leaks(spark, d).join(F.broadcast(items), "item_id").groupBy("benchmark", "split").agg(F.countDistinct("item_id").alias("n_items"), F.countDistinct("doc_id").alias("n_docs"))
+    return _leaks(spark, d).join(items, "item_id").groupBy("benchmark", "split").agg(F.countDistinct("item_id").alias("n_items"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 def _garbled(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +106,7 @@ def p7_restored(spark: SparkSession, d: str) -> DataFrame:
     return _garbled(spark, d)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_by_source, p2_found, p2_report, p2_coverage, p3_mix_plan, p3_mix_report, p5_packed, p5_report, p6_found, p6_report, p7_found, p7_restored)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_defects, p1_by_source, p2_found, p2_report, p2_coverage, p3_mix_plan, p3_mix_report, p5_packed, p5_report, p6_found, p6_report, p7_found, p7_restored)}
 
 #: None of these operators is expressible in SQL; ``tests/llm`` holds them against brute force.
 SQL: dict[str, str] = {}
