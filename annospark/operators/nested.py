@@ -36,7 +36,7 @@ import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import skew_join, stored
@@ -49,10 +49,10 @@ HOT = 100_000
 REMEMBER = 200_000
 
 _TYPES = {
-    "kind": pa.string(), "raw_id": pa.int64(), "loaded_at": pa.timestamp("us"), "node": pa.binary(), "parent": pa.binary(), "field": pa.string(), "shape": pa.string(), "ordinal": pa.int32(), "child": pa.binary(), "system": pa.bool_(),
+    "kind": pa.string(), "raw_id": pa.int64(), "loaded_at": pa.timestamp("us"), "node": pa.binary(), "parent": pa.binary(), "field": pa.string(), "shape": pa.string(), "ordinal": pa.int32(), "child": pa.binary(), "system": pa.bool_(), "entry": pa.bool_(),
     "scalar": pa.string(), "content": pa.string(), "fields": pa.list_(pa.string()), "role": pa.string(), "has_task": pa.bool_(), "has_unit": pa.bool_(),
 }
-ROWS = "kind string, raw_id long, loaded_at timestamp_ntz, node binary, parent binary, field string, shape string, ordinal int, child binary, system boolean, scalar string, content string, fields array<string>, role string, has_task boolean, has_unit boolean"
+ROWS = "kind string, raw_id long, loaded_at timestamp_ntz, node binary, parent binary, field string, shape string, ordinal int, child binary, system boolean, entry boolean, scalar string, content string, fields array<string>, role string, has_task boolean, has_unit boolean"
 _BRACKETS = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]', re.S)
 
 
@@ -134,7 +134,7 @@ class _Store:
                 edges += self.parts(field, part, "")
         text = _dump(content)
         digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16)
-        for field, shape, ordinal, child, scalar, _ in edges:
+        for field, shape, ordinal, child, scalar, *_ in edges:
             place = f"{len(field)} {field} {shape} {ordinal} "
             digest.update(place.encode("utf-8", "surrogatepass") + (child or b"-" + (scalar or "").encode("utf-8", "surrogatepass")))
         key = digest.digest()
@@ -144,32 +144,33 @@ class _Store:
             self.seen.add(key)
             role = value.get("from")
             self.nodes.append((key, text, fields, role if isinstance(role, str) else None, "task" in value, "unit" in value))
-            self.edges += [(key, *e) for e in edges]
+            # an entry lies in the value of a system turn
+            self.edges += [(key, *e[:6], system and e[0] == "value" and e[6]) for e in edges]
         return key
 
     def parts(self, field: str, value: object, prefix: str) -> list[tuple]:
-        """Places of a field: field, shape, ordinal, child, scalar, whether the child is a system turn."""
+        """Places of a field: field, shape, ordinal, child, scalar, whether the child is a system turn, and whether it has a task or a unit."""
         if isinstance(value, dict):
             return [(field, prefix + "object", 0, *self.place(value))]
         if isinstance(value, list):
             if not value:
-                return [(field, prefix + "empty", 0, None, None, False)]
+                return [(field, prefix + "empty", 0, None, None, False, False)]
             return [(field, prefix + "array", i, *self.place(x)) for i, x in enumerate(value)]
-        return [(field, prefix + "scalar", 0, None, _dump(value), False)]
+        return [(field, prefix + "scalar", 0, None, _dump(value), False, False)]
 
-    def place(self, value: object) -> tuple[bytes | None, str | None, bool]:
+    def place(self, value: object) -> tuple[bytes | None, str | None, bool, bool]:
         if isinstance(value, dict):
-            return self.node(value), None, value.get("from") == "system"
+            return self.node(value), None, value.get("from") == "system", "task" in value or "unit" in value
         if _leaf(value):
-            return None, _dump(value), False
-        return self.node({"": value}), None, False  # an array within an array
+            return None, _dump(value), False, False
+        return self.node({"": value}), None, False, False  # an array within an array
 
     def batches(self) -> Iterator[pa.RecordBatch]:
         """The rows so far, one batch of each kind."""
         for kind, rows, names in (
             (None, self.roots, ("kind", "raw_id", "loaded_at", "node")),
             ("node", self.nodes, ("node", "content", "fields", "role", "has_task", "has_unit")),
-            ("edge", self.edges, ("parent", "field", "shape", "ordinal", "child", "scalar", "system")),
+            ("edge", self.edges, ("parent", "field", "shape", "ordinal", "child", "scalar", "system", "entry")),
         ):
             if not rows:
                 continue
@@ -213,49 +214,54 @@ class FlatTables:
         """Keys none of whose payloads is a whole JSON object."""
         return self._all.where("kind in ('root', 'reject')").groupBy("raw_id").agg(F.max(F.col("node").isNotNull()).alias("ok")).where("not ok").select("raw_id")
 
+    # An identity fixes all that its rows hold, so whole rows can be made distinct, which is cheaper than keeping the first of each key.
+
     @property
     def nodes(self) -> DataFrame:
-        return self._all.where("kind = 'node'").select("node", "content", "fields", "role", "has_task", "has_unit").dropDuplicates(["node"])
+        return self._nodes("true", "node", "content", "fields", "role", "has_task", "has_unit")
 
     @property
     def edges(self) -> DataFrame:
-        return self._all.where("kind = 'edge'").select("parent", "field", "shape", "ordinal", "child", "scalar", "system").dropDuplicates(["parent", "field", "ordinal"])
+        return self._edges("true", "parent", "field", "shape", "ordinal", "child", "scalar")
+
+    def _nodes(self, condition: str, *columns: Column | str) -> DataFrame:
+        return self._all.where("kind = 'node'").where(condition).select(*columns).distinct()
+
+    def _edges(self, condition: str, *columns: Column | str) -> DataFrame:
+        return self._all.where("kind = 'edge'").where(condition).select(*columns).distinct()
 
     def turns(self) -> DataFrame:
         """``raw_id``, ``turn_idx``, ``node``, ``role``, ``value`` of every turn that is an object."""
-        places = self.edges.where("field = 'conversations' and child is not null").select(F.col("parent").alias("node"), F.col("ordinal").alias("turn_idx"), F.col("child"))
-        kinds = self.nodes.select(F.col("node").alias("child"), "role", F.get_json_object("content", "$.value").alias("value"))
+        places = self._edges("field = 'conversations' and child is not null", F.col("parent").alias("node"), F.col("ordinal").alias("turn_idx"), F.col("child"))
+        kinds = self._nodes("true", F.col("node").alias("child"), "role", F.get_json_object("content", "$.value").alias("value"))
         where = skew_join(self.roots, places, "node", "raw_id", HOT).select("raw_id", "turn_idx", "child")
         return skew_join(where, kinds, "child", "raw_id", HOT).select("raw_id", "turn_idx", F.col("child").alias("node"), "role", "value")
 
     def _entries(self) -> DataFrame:
         """``turn``, ``task_idx``, ``entry`` of the distinct system turns."""
-        nodes = self.nodes
-        system = nodes.where("role = 'system'")
-        direct = system.where("has_task or has_unit").select(F.col("node").alias("turn"), F.lit(0).alias("task_idx"), F.col("node").alias("entry"))
-        inside = self.edges.where("field = 'value' and child is not null").select(F.col("parent").alias("turn"), F.col("ordinal").alias("task_idx"), F.col("child").alias("entry"))
-        # children are distinct objects here, so no key is hot
-        valid = nodes.where("has_task or has_unit").select(F.col("node").alias("entry"))
-        return direct.unionByName(inside.join(system.select(F.col("node").alias("turn")), "turn", "left_semi").join(valid, "entry", "left_semi").select("turn", "task_idx", "entry"))
+        direct = self._nodes("role = 'system' and (has_task or has_unit)", F.col("node").alias("turn"), F.lit(0).alias("task_idx"), F.col("node").alias("entry"))
+        inside = self._edges("entry", F.col("parent").alias("turn"), F.col("ordinal").alias("task_idx"), F.col("child").alias("entry"))
+        return direct.unionByName(inside)
 
     def _units(self) -> DataFrame:
         """``turn``, ``task_idx``, ``entry``, ``unit_idx``, ``unit`` of the distinct system turns; -1 for an entry without unit."""
-        entries = self._entries()
-        listed = self.edges.where("field = 'unit' and (child is not null or scalar <> 'null')").select(F.col("parent").alias("entry"), F.col("ordinal").alias("unit_idx"), F.coalesce(F.lower(F.hex("child")), F.get_json_object(F.concat(F.lit('{"u":'), "scalar", F.lit("}")), "$.u")).alias("unit"))
-        bare = self.nodes.where("has_unit").select(F.col("node").alias("entry"), F.lit(0).alias("unit_idx"), F.get_json_object("content", "$.unit").alias("unit")).where("unit is not null and unit <> '[]'")
+        listed = self._edges("field = 'unit' and (child is not null or scalar <> 'null')", F.col("parent").alias("entry"), F.col("ordinal").alias("unit_idx"), F.coalesce(F.lower(F.hex("child")), F.get_json_object(F.concat(F.lit('{"u":'), "scalar", F.lit("}")), "$.u")).alias("unit"))
+        bare = self._nodes("has_unit", F.col("node").alias("entry"), F.lit(0).alias("unit_idx"), F.get_json_object("content", "$.unit").alias("unit")).where("unit is not null and unit <> '[]'")
         units = listed.unionByName(bare)
-        return entries.join(units, "entry", "left").select("turn", "task_idx", "entry", F.coalesce("unit_idx", F.lit(-1)).alias("unit_idx"), "unit")
+        return self._entries().join(units, "entry", "left").select("turn", "task_idx", "entry", F.coalesce("unit_idx", F.lit(-1)).alias("unit_idx"), "unit")
 
     def task_entries(self) -> DataFrame:
         """``raw_id``, ``turn_idx``, ``task_idx``, ``entry``, ``task_name``, ``use_unit`` of every task entry."""
         where = self.turn_places()
-        task = self.edges.where("field = 'task' and child is not null").select(F.col("parent").alias("entry"), F.col("child").alias("node")).join(self.nodes.select("node", "content"), "node").select("entry", F.get_json_object("content", "$.task_name").alias("task_name"), F.get_json_object("content", "$.use_unit").alias("use_unit"))
-        named = self._entries().join(task.dropDuplicates(["entry"]), "entry", "left")
+        places = self._edges("field = 'task' and child is not null", F.col("parent").alias("entry"), F.col("ordinal").alias("at"), F.col("child").alias("node"))
+        named_tasks = self._nodes("true", "node", F.get_json_object("content", "$.task_name").alias("task_name"), F.get_json_object("content", "$.use_unit").alias("use_unit"))
+        task = places.where("at = 0").drop("at").join(named_tasks, "node").drop("node")
+        named = self._entries().join(task, "entry", "left")
         return skew_join(where, named, "turn", "raw_id", HOT).select("raw_id", "turn_idx", "task_idx", "entry", "task_name", "use_unit")
 
     def turn_places(self) -> DataFrame:
         """``raw_id``, ``turn_idx``, ``turn``: where each distinct system turn occurs."""
-        places = self.edges.where("field = 'conversations' and system").select(F.col("parent").alias("node"), F.col("ordinal").alias("turn_idx"), F.col("child").alias("turn"))
+        places = self._edges("field = 'conversations' and system", F.col("parent").alias("node"), F.col("ordinal").alias("turn_idx"), F.col("child").alias("turn"))
         return skew_join(self.roots, places, "node", "raw_id", HOT).select("raw_id", "turn_idx", "turn")
 
     def unit_rows(self) -> DataFrame:

@@ -29,7 +29,7 @@ def p4_objects(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_links(spark: SparkSession, d: str) -> DataFrame:
     """Bridge rows: the places of children in their parents."""
-    return _named(_tables(spark, d).edges, "parent", "child").drop("system")
+    return _named(_tables(spark, d).edges, "parent", "child")
 
 
 def p4_records(spark: SparkSession, d: str) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boxes, corpus, dialogue, evaluation, nested
+from . import boxes, corpus, dialogue, evaluation, ingest, nested
 
-_MODULES = (boxes, corpus, dialogue, evaluation, nested)
+_MODULES = (boxes, corpus, dialogue, evaluation, ingest, nested)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
