@@ -401,3 +401,46 @@ SQL["panoptic_merge"] = f"""with {_SCORES}, l_ as (select *, s * case when insid
   select w_.image_id, cast(min(w_.q) as int) as segment, cast(cls as int) as category_id, cls < 3 as thing, string_agg(k, ',' order by k) as pixels from w_ join k_ on w_.image_id = k_.image_id and w_.q = k_.q where inside = 1 group by w_.image_id, cls, case when cls < 3 then w_.q end"""
 SQL["instance_topk"] = f"""with {_SCORES}, n_ as (select image_id, q, any_value(s) as s, any_value(cls) as cls, sum(inside) as n from c_ group by 1, 2), x_ as (select *, unnest(range(0, 6)) as c from n_), y_ as (select *, case when c = cls then s else 1 / (1 + exp(cast(5 as double))) end as p from x_),
   r_ as (select *, row_number() over (partition by image_id order by p desc, q, c) as r from y_) select image_id, cast(q as int) as query, cast(c as int) as category_id, {X.sql_rounded("p * (n * (1 / (1 + exp(cast(-3 as double)))) / (n + 1e-6))", 6)} as score, cast(n as int) as n_pixels from r_ where r <= 10 and c < 3"""
+_DECIDE = "You should decide on the best choice and output the corresponding letter."
+_OPTIONS = f"'QUESTION: What is at <boxes> ' || chr(10) || 'OPTIONS: (A) ' || ls[1] || ' (B) ' || ls[2] || ' <boxes> (C) nothing (D) all {_DECIDE}'"
+_LETTER = "'The answer is (' || chr(cast(65 + {0} as int)) || ').'"
+SQL["adapt_choices"] = f"""with {_LAB}, two_ as (select *, key % 2 as a from pic_ where n >= 2), four_ as (select *, unnest(range(0, 4)) as f from two_), k_ as (select *, key || '#' || f as fk from four_)
+  {_row("'vcr'", "key", "path", _ask(QA, "key", question="'QUESTION: What is at <boxes>'"), "case when a = 0 then ls[1] else ls[2] || ' <Phrase>target</Phrase><boxes>' end", "'0|' || case when a = 0 then '' else '1' end", "case when a = 0 then 'vqa' else 'gcg_detection' end", "n", "two_")}
+  union all {_row("'vcr_qc'", "key", "path", _ask(QA, "key", question=f"({_OPTIONS})"), _LETTER.format("a"), "'0;1|'", _VQA, "n", "two_")}
+  union all {_row("'vcr_pred'", "fk", "path", _ask(QA, "fk", question=f"({_OPTIONS})"), _LETTER.format("f"), "'0;1|'", _VQA, "n", "k_")}"""
+
+
+_DIST = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+_PHR = "array_to_string(list_transform(" + _DIST + ", lambda x: '<Phrase>' || x || '</Phrase>' || repeat('{1}', len(list_filter({0}, lambda y: y = x)))), ',') || '.'"
+_AT = "array_to_string(list_transform(" + _DIST + ", lambda x: array_to_string(list_filter(range(0, len({0})), lambda i: {0}[i + 1] = x), ',')), ';')"
+_ONE = "'<Phrase>' || p || '</Phrase>' || repeat('{0}', k) || '.'"
+SQL["adapt_web_captions"] = f"""with {_LAB}, s_ as (select key, path, list_slice(ls, 1, 2) as ls from pic_), e_ as (select key, path, ls, unnest({_DIST.format('ls')}) as p from s_), b_ as (select *, len(list_filter(ls, lambda y: y = p)) as k from e_)
+  {_row("'grit_c'", "key || '#c'", "path", _ask(ASK, "(key || '#c')"), "array_to_string(ls, ' near ')", "'|'", _VQA, "0", "s_")}
+  union all {_row("'grit_d'", "key || '#d'", "path", _ask(ASK, "(key || '#d')"), _PHR.format("ls", "<boxes>"), f"'|' || {_AT.format('ls')}", _DET, "len(ls)", "s_")}
+  union all {_row("'grit_c_d'", "key || '#c_d'", "path", _ask(ASK, "(key || '#c_d')"), "array_to_string(list_transform(ls, lambda x: '<Phrase>' || x || '</Phrase><boxes>'), ' near ')", "'|' || array_to_string(range(0, len(ls)), ';')", "'gcg_detection'", "len(ls)", "s_")}
+  union all {_row("'grit_cond_d'", "key || '#cond_d#' || p", "path", _ask(CLASS, "(key || '#cond_d#' || p)", cls="p"), _ONE.format("<boxes>"), f"'|' || {_UPTO.format('k')}", _GDET, "k", "b_")}
+  union all {_row("'grit_r'", "key || '#r#' || p", "path", _ask(FIND, "(key || '#r#' || p)", expr="p"), _ONE.format("<boxes>"), f"'|' || {_UPTO.format('k')}", _GDET, "k", "b_")}
+  union all {_row("'grit_g'", "key || '#g#' || p", "path", _ask(NAME, "(key || '#g#' || p)", objs="repeat('<boxes>', k)"), "p", f"{_UPTO.format('k')} || '|'", _VQA, "k", "b_")}"""
+
+
+def _dense(place: str) -> str:
+    """SQL of the versions of a densely annotated picture with one kind of target."""
+    seg = place == "<masks>"
+    det, cond = ("'segmentation'", _GSEG) if seg else (_DET, _GDET)
+    names = {"d": "s", "cond_d": "cond_s", "r_det": "r_seg", "re_det": "re_seg", "c_d": "c_s"} if seg else {}
+    n = lambda x: names.get(x, x)
+    key = lambda x, rest="": f"(key || '#{n(x)}'{rest})"
+    return " union all ".join((
+        _row(f"'grand_{n('d')}'", key("d"), "path", _ask(ASK, key("d")), _PHR.format("ls", place), f"'|' || {_AT.format('ls')}", det, "len(ls)", "s_"),
+        _row(f"'grand_{n('cond_d')}'", key("cond_d", " || '#' || p"), "path", _ask(CLASS, key("cond_d", " || '#' || p"), cls="p"), _ONE.format(place), f"'|' || {_UPTO.format('k')}", cond, "k", "b_"),
+        _row(f"'grand_{n('r_det')}'", key("r_det", " || '#0#0'"), "path", _ask(FIND, key("r_det", " || '#0#0'"), expr="ls[1]"), f"'<Phrase>' || ls[1] || '</Phrase>{place}.'", "'|0'", cond, "1", "s_"),
+        _row(f"'grand_{n('re_det')}'", key("re_det", " || '#' || o"), "path", _ask(NAME, key("re_det", " || '#' || o"), objs=f"'{place}'"), "'a ' || ls[o + 1]", "'0|'", _VQA, "1", "o_"),
+        _row(f"'grand_{n('c_d')}'", key("c_d", " || '#0'"), "path", _ask(ASK, key("c_d", " || '#0'")), f"'Here: <Phrase>' || ls[1] || '</Phrase>{place}.'", "'|0'", "'gcg_segmentation'" if seg else "'gcg_detection'", "1", "s_"),
+    ))
+
+
+SQL["adapt_dense_captions"] = f"""with {_LAB}, s_ as (select key, path, list_slice(ls, 1, 4) as ls, list_slice(ids, 1, 4) as ids from pic_), e_ as (select key, path, ls, unnest({_DIST.format('ls')}) as p from s_), b_ as (select *, len(list_filter(ls, lambda y: y = p)) as k from e_),
+  o_ as (select key, path, ls, unnest(list_filter(range(0, len(ids)), lambda i: ids[i + 1] % 2 = 0)) as o from s_)
+  {_row("'grand_c'", "key || '#c#0'", "path", _ask(ASK, "(key || '#c#0')"), "'Here: ' || ls[1] || '.'", "'|'", _VQA, "0", "s_")} union all {_dense("<boxes>")} union all {_dense("<masks>")}"""
+SQL["semantic_argmax"] = f"""with {_SCORES}, x_ as (select *, unnest(range(0, 5)) as c, 5.0 - (ann_id % 101) / 50 as top from c_), p_ as (select image_id, k, c, exp((case when c = cls then top else -5.0 end) - greatest(top, -5.0)) / (exp(top - greatest(top, -5.0)) + 5 * exp(-5.0 - greatest(top, -5.0))) as prob, case when inside = 1 then 1 / (1 + exp(cast(-3 as double))) else 1 / (1 + exp(cast(3 as double))) end as m from x_),
+  s_ as (select image_id, k, c, sum(prob * m) as score from p_ group by 1, 2, 3), r_ as (select *, row_number() over (partition by image_id, k order by score desc, c) as r from s_) select image_id, cast(c as int) as category_id, count(*) as n from r_ where r = 1 group by 1, 2"""
