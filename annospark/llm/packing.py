@@ -4,7 +4,9 @@ Documents are measured in tokens of a public tokenizer. A document longer than
 a container is cut into full containers and a rest; nothing else is split.
 
 Planning sees only the histogram of the pieces' lengths, whose size is bounded
-by the capacity and not by the corpus:
+by the capacity and not by the corpus. What is collected is the histogram of the
+documents' lengths in tokens, one row per distinct length, so at most as many rows
+as the longest document has tokens:
 
 1. Pattern packing: patterns of a few documents that (nearly) fill a block are
    enumerated over length bins, and non-negative least squares finds how often
@@ -34,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,30 +53,39 @@ RESERVE = 0.06
 BLOCK_DOCS = 5
 
 
-def _encoding(folder: str, name: str, pattern: str | None):
-    import tiktoken
-
-    if pattern is None:
-        try:
-            from public_tokenizers import PATTERN as pattern
-        except ImportError:
-            pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    with open(os.path.join(folder, name), "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+def _split_pattern() -> str:
+    """The pattern that belongs to the vocabulary; without it counts would differ, so its absence is an error."""
+    try:
+        from public_tokenizers import PATTERN
+    except ImportError as e:
+        raise RuntimeError("give the tokenizer's split pattern: the package that holds it is not installed") from e
+    return PATTERN
 
 
 _encodings: dict = {}
 
 
+def _encoding(path: str, pattern: str):
+    import tiktoken
+
+    if (path, pattern) not in _encodings:
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        _encodings[path, pattern] = tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[path, pattern]
+
+
 def token_counts(docs: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULARY, pattern: str | None = None) -> DataFrame:
-    """``doc_id`` and ``n_tokens`` of every document, whole texts; null counts as empty."""
+    """``doc_id`` and ``n_tokens`` of every document, whole texts; null counts as empty.
+
+    The vocabulary is read where the driver runs and sent to the workers, and the
+    split pattern is settled there, so that all machines count alike.
+    """
+    split = pattern if pattern is not None else _split_pattern()
+    docs.sparkSession.sparkContext.addFile(os.path.join(folder, name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (folder, name, pattern)
-        if key not in _encodings:
-            _encodings[key] = _encoding(*key)
-        encode = _encodings[key].encode_ordinary
+        encode = _encoding(SparkFiles.get(name), split).encode_ordinary
         for batch in batches:
             n = [len(encode(t.as_py())) if t.is_valid else 0 for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
@@ -383,4 +395,4 @@ def pack_report(packed: DataFrame, specs: DataFrame) -> DataFrame:
     each = packed.where("container_id is not null").groupBy("pack_id", "container_id").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("items"))
     total = each.groupBy("pack_id").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("items").alias("n_items"), F.sum("tokens").alias("n_tokens"))
     named = specs.select(F.col("pack_id").cast("int").alias("pack_id"), "capacity", "sep_tokens").dropDuplicates(["pack_id"])
-    return total.join(F.broadcast(named), "pack_id").withColumn("fill", F.round((F.col("n_tokens") + F.coalesce("sep_tokens", F.lit(0)) * (F.col("n_items") - F.col("n_containers"))) / (F.col("n_containers") * F.col("capacity")), 6))
+    return total.join(named, "pack_id").withColumn("fill", F.round((F.col("n_tokens") + F.coalesce("sep_tokens", F.lit(0)) * (F.col("n_items") - F.col("n_containers"))) / (F.col("n_containers") * F.col("capacity")), 6))

@@ -83,3 +83,13 @@ def test_token_counts_are_those_of_the_library(spark):
     texts = ["Hello <|endoftext|> world", "naïve café – 42 €", "a\n\n b"]
     rows = P.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id: r.n_tokens for r in rows} == {i: len(encoding.encode_ordinary(t)) for i, t in enumerate(texts)}
+
+
+def test_no_silent_other_pattern(spark, monkeypatch):
+    import sys
+
+    monkeypatch.setitem(sys.modules, "public_tokenizers", None)
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    with pytest.raises(RuntimeError):
+        P.token_counts(docs)
+    assert P.token_counts(docs, pattern=r"\S+|\s+").first().n_tokens > 0
