@@ -79,7 +79,7 @@ def test_documents(spark):
 
 
 def test_token_counts_are_those_of_the_library(spark):
-    encoding = P._encoding(P.TOKENIZERS, P.VOCABULARY, None)
+    encoding = P._encoding(f"{P.TOKENIZERS}/{P.VOCABULARY}", P._split_pattern())
     texts = ["Hello <|endoftext|> world", "naïve café – 42 €", "a\n\n b"]
     rows = P.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id: r.n_tokens for r in rows} == {i: len(encoding.encode_ordinary(t)) for i, t in enumerate(texts)}
