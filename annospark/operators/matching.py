@@ -89,6 +89,7 @@ def greedy_match(scored: DataFrame, group: str, i: str, j: str, score: str, leas
     group ever being in one task.
     """
     rows = scored.where(F.col(score) > least).select(F.col(group).alias("g"), F.col(score).cast("double").alias("score"), F.col(i).cast("long").alias("i"), F.col(j).cast("long").alias("j"))
+    rows = cut(rows)  # read for the sizes and by either way
     sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     small = rows.join(sizes.where(F.col("n") <= FOLD), "g").groupBy("g").agg(F.collect_list(F.struct("score", "i", "j")).alias("p")).select("g", F.inline(greedy_pairs(F.col("p"), least)))
     left = cut(rows.join(sizes.where(F.col("n") > FOLD), "g", "left_semi"))

@@ -86,11 +86,9 @@ def cider(df: DataFrame, key: str, pred: str, target: str, n: int = 4) -> DataFr
     a gram in every caption costs one row per caption and no pairs.
     """
     base = df.select(F.col(key).alias("k"), words(F.col(pred)).alias("p"), words(F.col(target)).alias("t"))
-    grams = None
-    for side in ("p", "t"):
-        for i in range(1, n + 1):
-            one = base.select("k", F.lit(side).alias("side"), F.lit(i).alias("n"), F.explode(ngrams(F.col(side), i)).alias("g"))
-            grams = one if grams is None else grams.unionByName(one)
+    # n-grams of both sides and all sizes are exploded from one row
+    of = lambda side, i: F.transform(ngrams(F.col(side), i), lambda g: F.struct(F.lit(side).alias("side"), F.lit(i).alias("n"), g.alias("g")))
+    grams = base.select("k", F.inline(F.flatten(F.array(*[of(side, i) for side in ("p", "t") for i in range(1, n + 1)]))))
     tf = grams.groupBy("k", "n", "g").agg(F.count_if(F.col("side") == "p").alias("cp"), F.count_if(F.col("side") == "t").alias("ct"))
     df_counts = tf.where("ct > 0").groupBy("n", "g").agg(F.count(F.lit(1)).alias("df"))
     total = base.agg(F.count(F.lit(1))).scalar()

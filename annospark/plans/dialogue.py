@@ -97,8 +97,9 @@ def decode_groups(spark: SparkSession, d: str) -> DataFrame:
     return r.select("sample_id", "round_idx", F.posexplode(E.reference_groups(F.col("output"))).alias("pos", "g")).select("sample_id", "round_idx", "pos", "g.phrase", "g.unit", "g.n")
 
 
-def _encoded(spark: SparkSession, d: str) -> DataFrame:
-    s = samples(spark, d).select("sample_id", C.prompted(C.compiled(F.col("turns"), F.col("system"), use_cot=False)).alias("rounds"))
+def _encoded(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """Ids and labels of each sample; ``whole`` leaves out samples without turns before anything is encoded."""
+    s = samples(spark, d).where(F.col("turns").isNotNull() if whole else F.lit(True)).select("sample_id", C.prompted(C.compiled(F.col("turns"), F.col("system"), use_cot=False)).alias("rounds"))
     return s.select("sample_id", E.encoded(F.col("rounds")).alias("e")).select("sample_id", "e.ids", "e.labels")
 
 
@@ -111,7 +112,7 @@ def token_encode_labels(spark: SparkSession, d: str) -> DataFrame:
 
 def batch_padding(spark: SparkSession, d: str) -> DataFrame:
     """Rows of padded batches; every batch is as long as its longest row."""
-    b = E.padded_batches(_encoded(spark, d).select("sample_id", "ids", "labels").where("ids is not null"), "sample_id", 16)
+    b = E.padded_batches(_encoded(spark, d, whole=True).select("sample_id", "ids", "labels"), "sample_id", 16)
     live = F.aggregate("attention", F.lit(0), lambda s, x: s + x)
     return b.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.size("ids")).alias("width"), F.min(F.size("labels")).alias("label_width"), F.sum(live).alias("n_tokens"), F.max(live).alias("longest"))
 
