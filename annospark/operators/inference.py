@@ -95,12 +95,13 @@ def semantic_labels(df: DataFrame) -> DataFrame:
     """The likeliest class of each pixel (M24): ``image_id``, ``pixel``, ``category_id``, ``score``.
 
     A class scores the sum over queries of the query's probability for it, no
-    object aside, times its probability for the pixel. Ties go to the smaller class.
+    object aside, times its probability for the pixel. Sums are compared to nine
+    digits, so the order of adding up decides nothing; ties go to the smaller class.
     """
     q = query_rows(df).withColumn("prob", class_probabilities(F.col("classes")))
     one = pixel_rows(q, "prob").select("image_id", "pixel", "p", F.posexplode(F.slice("prob", 1, F.greatest(F.size("prob") - 1, F.lit(0)))).alias("category_id", "c"))
     summed = one.groupBy("image_id", "pixel", "category_id").agg(F.sum(F.col("p") * F.col("c")).alias("score"))
-    return summed.groupBy("image_id", "pixel").agg(F.max(F.struct("score", (-F.col("category_id")).alias("c"))).alias("m")).select("image_id", "pixel", (-F.col("m.c")).alias("category_id"), F.col("m.score").alias("score"))
+    return summed.groupBy("image_id", "pixel").agg(F.max(F.struct(F.round("score", 9).alias("score"), (-F.col("category_id")).alias("c"))).alias("m")).select("image_id", "pixel", (-F.col("m.c")).alias("category_id"), F.col("m.score").alias("score"))
 
 
 def panoptic_segments(df: DataFrame, things: list[int], overlap: float = 0.8) -> DataFrame:

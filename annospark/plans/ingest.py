@@ -443,4 +443,4 @@ SQL["adapt_dense_captions"] = f"""with {_LAB}, s_ as (select key, path, list_sli
   o_ as (select key, path, ls, unnest(list_filter(range(0, len(ids)), lambda i: ids[i + 1] % 2 = 0)) as o from s_)
   {_row("'grand_c'", "key || '#c#0'", "path", _ask(ASK, "(key || '#c#0')"), "'Here: ' || ls[1] || '.'", "'|'", _VQA, "0", "s_")} union all {_dense("<boxes>")} union all {_dense("<masks>")}"""
 SQL["semantic_argmax"] = f"""with {_SCORES}, x_ as (select *, unnest(range(0, 5)) as c, 5.0 - (ann_id % 101) / 50 as top from c_), p_ as (select image_id, k, c, exp((case when c = cls then top else -5.0 end) - greatest(top, -5.0)) / (exp(top - greatest(top, -5.0)) + 5 * exp(-5.0 - greatest(top, -5.0))) as prob, case when inside = 1 then 1 / (1 + exp(cast(-3 as double))) else 1 / (1 + exp(cast(3 as double))) end as m from x_),
-  s_ as (select image_id, k, c, sum(prob * m) as score from p_ group by 1, 2, 3), r_ as (select *, row_number() over (partition by image_id, k order by score desc, c) as r from s_) select image_id, cast(c as int) as category_id, count(*) as n from r_ where r = 1 group by 1, 2"""
+  s_ as (select image_id, k, c, sum(prob * m) as score from p_ group by 1, 2, 3), r_ as (select *, row_number() over (partition by image_id, k order by round(score, 9) desc, c) as r from s_) select image_id, cast(c as int) as category_id, count(*) as n from r_ where r = 1 group by 1, 2"""

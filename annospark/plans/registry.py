@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boxes, corpus, dialogue, evaluation, ingest, nested, signals
+from . import boxes, composed, corpus, dialogue, evaluation, ingest, nested, signals
 
-_MODULES = (boxes, corpus, dialogue, evaluation, ingest, nested, signals)
+_MODULES = (boxes, corpus, dialogue, evaluation, ingest, nested, signals, composed)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
