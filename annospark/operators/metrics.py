@@ -112,11 +112,40 @@ def meteor(pred: Column, target: Column) -> Column:
     return F.coalesce(mean * (1 - 0.5 * F.pow(ratio(chunks, m), 3)), F.lit(0.0))
 
 
-def smoothed(value: Column, order: list[Column], by: list[Column] | None = None, size: int = 20) -> dict[str, Column]:
-    """Median and mean of the last ``size`` values, and the mean of all so far (AG32, W4)."""
-    frame = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
-    last = frame.rowsBetween(-(size - 1), 0)
-    return {"median": F.percentile(value, F.lit(0.5)).over(last), "avg": F.avg(value).over(last), "global_avg": F.avg(value).over(frame.rowsBetween(Window.unboundedPreceding, 0))}
+def smoothed_rows(df: DataFrame, by: list[str], order: str, value: str, size: int = 20, block_rows: int = 200_000) -> DataFrame:
+    """The rows with ``median``, ``avg`` (of the last ``size`` values of their group) and ``global_avg`` (AG32, W4), however large a group is.
+
+    Rows are cut into blocks of about ``block_rows`` by the range of ``order``, a number. The last
+    ``size`` - 1 values of the blocks before, at most as many blocks, are carried into each block of
+    a group, as are count and sum of all before; every window then lies within one block. Ties of
+    ``order`` must not occur within a group; null values take no part in median and means.
+    """
+    total = df.count()
+    blocks = max(1, -(-total // block_rows))
+    if blocks > 1:
+        edges = df.agg(F.percentile_approx(order, [k / blocks for k in range(1, blocks)], 10_000)).scalar()
+        cut_ = df.withColumn("__e", edges).withColumn("__b", F.size(F.filter("__e", lambda e: e < F.col(order)))).drop("__e")
+    else:
+        cut_ = df.withColumn("__b", F.lit(0))
+    keep = size - 1
+    last = Window.partitionBy(*by, "__b").orderBy(F.col(order).desc())
+    tails = cut_.withColumn("__r", F.row_number().over(last)).where(F.col("__r") <= keep).groupBy(*by, "__b").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias("__t"))
+    sums = cut_.groupBy(*by, "__b").agg(F.count(value).alias("__n"), F.sum(value).alias("__s"))
+    before = Window.partitionBy(*by).orderBy("__b")
+    some, all_ = before.rowsBetween(-keep, -1), before.rowsBetween(Window.unboundedPreceding, -1)
+    null_safe = [F.col(f"__k_{c}").eqNullSafe(F.col(c)) for c in by]
+    one = tails.join(sums.select(*[F.col(c).alias(f"__k_{c}") for c in by], F.col("__b").alias("__kb"), "__n", "__s"), [*null_safe, F.col("__b") == F.col("__kb")]).select(*by, "__b", "__t", "__n", "__s")
+    carried = one.select(*by, "__b", F.flatten(F.collect_list("__t").over(some)).alias("__c"), F.coalesce(F.sum("__n").over(all_), F.lit(0)).alias("__pn"), F.coalesce(F.sum("__s").over(all_), F.lit(0.0)).alias("__ps"))
+    head = carried.select(*[F.col(c).alias(f"__k_{c}") for c in by], F.col("__b").alias("__kb"), F.when(F.size("__c") > keep, F.slice("__c", -keep, keep)).otherwise(F.col("__c")).alias("__c"), "__pn", "__ps")
+    own = cut_.select("*", F.lit(True).alias("__own"), F.col(value).alias("__v"), F.col(order).alias("__o"))
+    earlier = head.select(*[F.col(f"__k_{c}").alias(c) for c in by], F.col("__kb").alias("__b"), F.explode("__c").alias("x")).select(*by, "__b", F.lit(False).alias("__own"), F.col("x.v").alias("__v"), F.col("x.o").alias("__o"))
+    frame = Window.partitionBy(*by, "__b").orderBy("__o")
+    window = frame.rowsBetween(-keep, 0)
+    mine = F.when(F.col("__own"), F.col("__v"))
+    inside = frame.rowsBetween(Window.unboundedPreceding, 0)
+    done = own.unionByName(earlier, allowMissingColumns=True).select("*", F.percentile("__v", F.lit(0.5)).over(window).alias("median"), F.avg("__v").over(window).alias("avg"), F.count(mine).over(inside).alias("__cn"), F.sum(mine).over(inside).alias("__cs")).where("__own")
+    joined = done.join(head.drop("__c"), [*null_safe, F.col("__b") == F.col("__kb")])
+    return joined.withColumn("global_avg", ratio(F.coalesce("__cs", F.lit(0.0)) + F.col("__ps"), F.col("__cn") + F.col("__pn"))).select(*df.columns, "median", "avg", "global_avg")
 
 
 def average_precision(matches: DataFrame, truths: DataFrame, by: list[str], score: str, hit: str) -> DataFrame:

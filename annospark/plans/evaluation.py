@@ -199,9 +199,8 @@ def det_argmax_class(spark: SparkSession, d: str) -> DataFrame:
 
 def moving_scores(spark: SparkSession, d: str) -> DataFrame:
     """AG32, W4: median and mean of the last twenty scores of a category."""
-    b = X.boxes(spark, d).where("category_id is not null and score is not null")
-    s = A.smoothed(F.col("score"), [F.col("ann_id")], [F.col("category_id")])
-    return b.select("ann_id", G.rounded(s["median"], 6).alias("median"), G.rounded(s["avg"], 5).alias("avg"))
+    b = X.boxes(spark, d).where("category_id is not null and score is not null").select("ann_id", "category_id", "score")
+    return A.smoothed_rows(b, ["category_id"], "ann_id", "score").select("ann_id", G.rounded(F.col("median"), 6).alias("median"), G.rounded(F.col("avg"), 5).alias("avg"), G.rounded(F.col("global_avg"), 5).alias("global_avg"))
 
 
 QUERIES = {
@@ -256,7 +255,7 @@ SQL = {
     "det_argmax_class": f"""with c_ as (select label, i, avg(cast(x as double)) as x from (select label, unnest(embedding) as x, unnest(range(0, len(embedding))) as i from embeddings where label is not null) group by 1, 2), v_ as (select label, list(x order by i) as c from c_ group by 1),
         s_ as (select e.vec_id as id, v_.label, {_R("list_cosine_similarity(cast(e.embedding as double[]), v_.c)", 6)} as sim from embeddings e cross join v_), r_ as (select *, row_number() over (partition by id order by sim desc, label) as r from s_)
         select id, label, sim from r_ where r = 1""",
-    "moving_scores": f"""with {X.BOXES} select ann_id, {_R("median(score) over f", 6)} as median, {_R("avg(score) over f", 5)} as avg from boxes_ where category_id is not null and score is not null window f as (partition by category_id order by ann_id rows between 19 preceding and current row)""",
+    "moving_scores": f"""with {X.BOXES} select ann_id, {_R("median(score) over f", 6)} as median, {_R("avg(score) over f", 5)} as avg, {_R("avg(score) over u", 5)} as global_avg from boxes_ where category_id is not null and score is not null window f as (partition by category_id order by ann_id rows between 19 preceding and current row), u as (partition by category_id order by ann_id rows unbounded preceding)""",
     "detection_ap": f"""with recursive {X.PREDS}, b_ as (select * from preds_ where category_id is not null),
         p_ as (select p.image_id || '#' || p.category_id as g, p.ann_id as i, p.score, t.ann_id as j, {_IOU} as iou from b_ p join b_ t on p.image_id = t.image_id and p.category_id = t.category_id where p.score is not null),
         n_ as (select g, i, row_number() over (partition by g order by score desc, i) as k, c from (select g, i, any_value(score) as score, list(struct_pack(iou := iou, j := j) order by iou desc, j desc) as c from p_ where iou >= 0.5 group by g, i)),

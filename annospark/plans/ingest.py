@@ -251,6 +251,18 @@ def adapt_dense_captions(spark: SparkSession, d: str) -> DataFrame:
     return _shown(A.load("grand", rows, version="mix", templates=asked, largest=4))
 
 
+def adapt_joined(spark: SparkSession, d: str) -> DataFrame:
+    """Caption, detection, referring and grounded caption of a picture as the rounds of one record, sequences counted on."""
+    p = _pictures(spark, d)
+    objects = F.transform("objs", lambda o, i: F.struct(i.cast("long").alias("id"), o["box"].alias("bbox"), _no_mask().alias("mask"), o["label"].alias("label"), F.array().cast("array<string>").alias("attributes"), (-i).cast("double").alias("area")))
+    first = F.get("objs", F.lit(0))["label"]
+    captions = F.array(F.struct(F.concat(F.lit("Here: "), first, F.lit(".")).alias("caption"), F.array(F.struct(first.alias("phrase"), F.lit(6).alias("start"), (F.length(first) + 6).alias("end"), F.array(F.lit(0).cast("long")).alias("ids"))).alias("details")))
+    rows = p.select(F.col("key"), _path().alias("name"), F.col("w").cast("int").alias("width"), F.col("h").cast("int").alias("height"), objects.alias("objects"), F.slice(objects, 1, 0).alias("floating"), captions.alias("captions"))
+    each = A.load("grand", rows, version="mix", templates={"c": ["<image> What?"], "d": ["<image> Find all."], "r_det": FIND[1:], "c_d": ASK[:1]}, largest=4)
+    order = F.array_position(F.array(*[F.lit(f"grand_{v}") for v in ("c", "d", "r_det", "c_d")]), F.col("source"))
+    return _shown(A.joined_rounds(each, F.split_part("sample_id", F.lit("#"), F.lit(1)), order, "grand_mix"))
+
+
 def adapt_depth(spark: SparkSession, d: str) -> DataFrame:
     """Pictures paired with their depth maps by name, and single open questions."""
     names = X.images(spark, d).select(F.concat(F.lit("rgb/"), F.col("image_id").cast("string"), F.lit(".jpg")).alias("path"), "image_id")
@@ -319,7 +331,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         adapt_captions, adapt_questions, adapt_flickr, adapt_referring, adapt_detection, adapt_conditional, adapt_point_questions, adapt_pointing, adapt_choices, adapt_instructions, adapt_label_images, adapt_instances, adapt_narratives, phrase_insert,
-        adapt_grounded_dialogues, adapt_regions, adapt_interaction, adapt_keypoints, adapt_web_captions, adapt_dense_captions, adapt_depth, target_process, sink_roundtrip, panoptic_merge, instance_topk, semantic_argmax,
+        adapt_grounded_dialogues, adapt_regions, adapt_interaction, adapt_keypoints, adapt_web_captions, adapt_dense_captions, adapt_joined, adapt_depth, target_process, sink_roundtrip, panoptic_merge, instance_topk, semantic_argmax,
     )
 }
 
@@ -444,3 +456,6 @@ SQL["adapt_dense_captions"] = f"""with {_LAB}, s_ as (select key, path, list_sli
   {_row("'grand_c'", "key || '#c#0'", "path", _ask(ASK, "(key || '#c#0')"), "'Here: ' || ls[1] || '.'", "'|'", _VQA, "0", "s_")} union all {_dense("<boxes>")} union all {_dense("<masks>")}"""
 SQL["semantic_argmax"] = f"""with {_SCORES}, x_ as (select *, unnest(range(0, 5)) as c, 5.0 - (ann_id % 101) / 50 as top from c_), p_ as (select image_id, k, c, exp((case when c = cls then top else -5.0 end) - greatest(top, -5.0)) / (exp(top - greatest(top, -5.0)) + 5 * exp(-5.0 - greatest(top, -5.0))) as prob, case when inside = 1 then 1 / (1 + exp(cast(-3 as double))) else 1 / (1 + exp(cast(3 as double))) end as m from x_),
   s_ as (select image_id, k, c, sum(prob * m) as score from p_ group by 1, 2, 3), r_ as (select *, row_number() over (partition by image_id, k order by round(score, 9) desc, c) as r from s_) select image_id, cast(c as int) as category_id, count(*) as n from r_ where r = 1 group by 1, 2"""
+SQL["adapt_joined"] = f"""with {_LAB}, s_ as (select key, path, list_slice(ls, 1, 4) as ls from pic_)
+  select 'grand_mix' as source, cast(key as varchar) as sample_id, path, 'human: <image> What?' || chr(10) || 'gpt: Here: ' || ls[1] || '.' || chr(10) || 'human: Find all.' || chr(10) || 'gpt: ' || {_PHR.format("ls", "<boxes>")} || chr(10) || 'human: Find ' || ls[1] || '.' || chr(10) || 'gpt: <Phrase>' || ls[1] || '</Phrase><boxes>.' || chr(10) || 'human: {ASK[0]}' || chr(10) || 'gpt: Here: <Phrase>' || ls[1] || '</Phrase><boxes>.' as said,
+  '|||' || {_AT.format("ls")} || '||' || len(ls) || '||' || (len(ls) + 1) as groups, 'vqa,detection,grounding_detection,gcg_detection' as tasks, cast(len(ls) + 2 as int) as n_targets from s_"""

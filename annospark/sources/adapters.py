@@ -565,7 +565,7 @@ def _grit_phrases(df: DataFrame, field: str) -> DataFrame:
 
 @adapter("grit")
 def grit(df: DataFrame, templates: dict[str, list[str]], version: str = "c_d", source: str = "grit") -> DataFrame:
-    """``width``, ``height``, ``caption``, ``noun_chunks``, ``ref_exps`` (normalised); one record per picture, or per phrase for r and g.
+    """One picture's records become one with ``joined_rounds``. Fields: ``width``, ``height``, ``caption``, ``noun_chunks``, ``ref_exps`` (normalised); one record per picture, or per phrase for r and g.
 
     ``templates`` by version. ``combine`` is the union of the others with the version in the source.
     """
@@ -674,6 +674,33 @@ def single(df: DataFrame, source: str = "single") -> DataFrame:
     return record(df, source, F.col("image"), [turn("human", F.col("question")), turn("gpt", F.lit(""))], [F.struct(F.col("task_name"), F.array().cast("array<string>").alias("element"), F.lit(False).alias("use_unit"), F.lit(None).cast("array<string>").alias("unit")).cast(S.SYSTEM)])
 
 
+def joined_rounds(sample: DataFrame, key: Column, order: Column, source: str) -> DataFrame:
+    """Records of one picture as one record with all their rounds (A65, P21-P23): in the order given, targets one after the other.
+
+    Sequences are counted on by the targets of the rounds before; the picture's mark
+    stays in the first question only. Path and size are those of the first record.
+    ``key`` names the picture, ``order`` the place of a record within it.
+    """
+    fields = {"boxes": "boxes_seq", "masks": "masks_seq", "points": "points_seq", "keypoints": "keypoints_seq"}
+    rows = sample.groupBy(key.cast("string").alias("key")).agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), F.struct("image", "target", "system", "turns").alias("r")))).alias("l")).withColumn("l", F.transform("l", lambda x: x["r"]))
+    size = lambda a: F.greatest(F.coalesce(F.size(a), F.lit(0)), F.lit(0))
+    # how many targets of each kind stand before a record
+    start = lambda i, t: F.aggregate(F.slice("l", 1, i), F.lit(0), lambda s, r: s + size(r["target"][t]))
+
+    def moved(turn_: Column, k: Column, i: Column) -> Column:
+        shift = lambda t, s: F.transform(turn_[s], lambda g: F.transform(g, lambda x: F.when(x < 0, x).otherwise(x + start(i, t))))
+        value = F.when((turn_["role"] == "human") & ((i > 0) | (k > 0)), F.trim(F.replace(turn_["value"], F.lit(IMAGE), F.lit("")))).otherwise(turn_["value"])
+        return F.struct(turn_["role"].alias("role"), value.alias("value"), *[shift(t, s).alias(s) for t, s in fields.items()]).cast(S.TURN)
+
+    turns = F.flatten(F.transform("l", lambda r, i: F.transform(r["turns"], lambda t, k: moved(t, k, i))))
+    whole = lambda t: F.when(F.exists("l", lambda r: r["target"][t].isNotNull()), F.flatten(F.transform(F.filter("l", lambda r: r["target"][t].isNotNull()), lambda r: r["target"][t])))
+    first = F.get("l", F.lit(0))
+    return rows.select(
+        F.col("key").alias("sample_id"), F.lit(source).alias("source"), first["image"].alias("image"),
+        F.struct(*[whole(t).alias(t) for t in ("boxes", "points", "masks", "keypoints", "depth")]).cast(S.TARGET).alias("target"), F.flatten(F.transform("l", lambda r: r["system"])).alias("system"), turns.alias("turns"),
+    )
+
+
 def normalised(sample: DataFrame) -> DataFrame:
     """Targets in the padded square, as parts of its side (G20, lifecycle step ``target_process``); records without a size keep theirs."""
     w, h = F.col("image.width"), F.col("image.height")
