@@ -71,8 +71,9 @@ def _too_deep(text: str) -> bool:
     return False
 
 
-def _dump(value: object) -> str:
-    return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+#: Canonical JSON: keys sorted, no blanks.
+_dump = json.JSONEncoder(sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode
+_NUMBERS = {int, float}
 
 
 def _refuse(name: str) -> None:
@@ -95,7 +96,7 @@ def _leaf(value: object) -> bool:
     if isinstance(value, dict):
         return False
     if isinstance(value, list):
-        return all(isinstance(x, int | float) and not isinstance(x, bool) for x in value)
+        return all(type(x) in _NUMBERS for x in value)
     return True
 
 
@@ -133,11 +134,11 @@ class _Store:
             else:
                 edges += self.parts(field, part, "")
         text = _dump(content)
-        digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16)
-        for field, shape, ordinal, child, scalar, *_ in edges:
-            place = f"{len(field)} {field} {shape} {ordinal} "
-            digest.update(place.encode("utf-8", "surrogatepass") + (child or b"-" + (scalar or "").encode("utf-8", "surrogatepass")))
-        key = digest.digest()
+        below = [text]
+        for field, shape, ordinal, child, scalar, _, _ in edges:
+            # identities as characters of one byte each; nothing else is as long as its mark says
+            below.append(f"{len(field)} {field} {shape} {ordinal} {'-' + (scalar or '') if child is None else '+' + child.decode('latin-1')}")
+        key = hashlib.blake2b("".join(below).encode("utf-8", "surrogatepass"), digest_size=16).digest()
         if key not in self.seen:
             if len(self.seen) >= REMEMBER:
                 self.seen.clear()
