@@ -103,3 +103,21 @@ def test_all_defects_of_a_round(spark, detector):
     d, _ = detector
     over = d.beyond(["Where is the fern?", "Where is the fern?"], [None, "The fern is next to the scooter."])
     assert np.isinf(over[0, 0]) and (over[1] < 0).all() and d.beyond([], []).shape == (0, 5)
+
+
+def test_all_rounds_and_texts_take_part_however_they_lie(spark, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK", 150)
+    things = [f"thing{i}" for i in range(7)] + ["cat", "dog", "bus", "cup", "hat"]
+    rows = [(i, [("human", f"What is the colour of the {things[i % 12]} in yard {i}?"), ("gpt", f"The {things[i % 12]} in the yard is mostly green and old{i}.")]) for i in range(600)]
+    docs = [(i, "the cat and the dog are in the old yard", "en") for i in range(4000)] + [(5000 + i, "il gatto e il cane sono nel vecchio cortile", "it") for i in range(P.LEAST_TEXTS)]
+    texts = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    found = [P.fit_detector(P.rounds(spark.createDataFrame(rows, f"sample_id long, conversations {CONV}").repartition(n)), texts.repartition(n)) for n in (1, 5)]
+    # a language with just enough texts among all; no word that ends an answer is missed
+    assert all(d.features.languages.names == ["en", "it"] for d in found)
+    brute = P._finals(P.Counter(r[1][1][1] for r in rows))
+    assert np.array_equal(found[1].features.final, P.Features(found[1].features.languages, brute).final)
+    for a, b in zip(found[0].models, found[1].models, strict=True):
+        assert np.array_equal(a.w, b.w) and a.b == b.b and a.threshold == b.threshold
+    assert found[0].predict(["What is the colour of the cat?"] * 2, ["The cat in the yard is mostly green and old.", "-"]) == [None, "empty"]
+    # four blocks: their models are not those of one
+    assert not np.array_equal(found[0].models[4].w, P.Detector([(r[1][0][1], r[1][1][1]) for r in rows], P.labelled_texts(texts)).models[4].w)
