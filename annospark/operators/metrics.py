@@ -7,8 +7,11 @@ are scored from n-gram counts, never from collected texts.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -112,13 +115,79 @@ def meteor(pred: Column, target: Column) -> Column:
     return F.coalesce(mean * (1 - 0.5 * F.pow(ratio(chunks, m), 3)), F.lit(0.0))
 
 
-def smoothed_rows(df: DataFrame, by: list[str], order: str, value: str, size: int = 20, block_rows: int = 200_000) -> DataFrame:
+#: Values that are added in one node of a tree of sums, and the rows of one task, a power of it.
+FANOUT, SPAN = 16, 16**4
+
+
+def tree_sums(values: np.ndarray, first: int, base: float = 0.0) -> np.ndarray:
+    """Running sums of values that are the leaves ``first``, … of a tree of sums, from ``base``; the last bits are those of a window in DuckDB.
+
+    Up to each value the ragged front is added first, then whole nodes, the largest in the middle, then the ragged end.
+    """
+    front = min(len(values), -first % FANOUT)
+    head = np.cumsum(np.r_[base, values[:front]])
+    rest, nodes = values[front:], (len(values) - front) // FANOUT
+    if not len(rest):
+        return head[1:]
+    whole = rest[: nodes * FANOUT].reshape(nodes, FANOUT)
+    above = tree_sums(whole.cumsum(1)[:, -1], (first + front) // FANOUT, head[-1]) if nodes else head[:0]
+    starts = np.r_[head[-1], above]
+    inside = np.concatenate([starts[:-1, None], whole], axis=1).cumsum(1)[:, 1:]
+    inside[:, -1] = above
+    return np.concatenate([head[1:], inside.ravel(), np.cumsum(np.r_[starts[-1], rest[nodes * FANOUT :]])[1:]])
+
+
+def _with_tree_sums(placed: DataFrame, by: list[str], total: int, span: int) -> DataFrame:
+    """``placed`` with ``__s``, the sum by ``tree_sums`` of ``__v`` from row ``__first`` to row ``__p`` of the tree, ``span`` rows at a time.
+
+    The spans' own sums, one row each, are added by group first where there are several.
+    """
+    spans = placed.withColumn("__c", F.expr(f"__p div {span}"))
+    numbers = lambda t, name: t[name].fill_null(0.0).to_numpy().astype(float)
+    keys = ", ".join(f"`{c}` {placed.schema[c].dataType.simpleString()}" for c in by)
+
+    def node(t: pa.Table) -> pa.Table:
+        t = t.sort_by("__p")
+        at = t["__p"][0].as_py() % span
+        return t.slice(0, 1).select([*by, "__c", "__first"]).append_column("__whole", pa.array([t.num_rows == span])).append_column("__sum", pa.array([tree_sums(numbers(t, "__v"), at)[-1]], pa.float64()))
+
+    def over(t: pa.Table) -> pa.Table:
+        t = t.sort_by("__c")
+        first, sums, whole = t["__first"][0].as_py(), numbers(t, "__sum"), t["__whole"].to_numpy()
+        ragged = int(first % span > 0)
+        base = sums[0] if ragged else 0.0
+        upto = tree_sums(sums[ragged:][whole[ragged:]], -(-first // span), base)
+        starts = np.r_[np.zeros(ragged), base, upto][: len(sums)]
+        ends = [upto[i - ragged] if w else None for i, w in enumerate(whole)]
+        return t.select([*by, "__c"]).append_column("__start", pa.array(starts, pa.float64())).append_column("__end", pa.array(ends, pa.float64()))
+
+    def rows(t: pa.Table) -> pa.Table:
+        t = t.sort_by("__p")
+        sums = tree_sums(numbers(t, "__v"), t["__p"][0].as_py() % span, t["__start"][0].as_py())
+        if t["__end"][0].is_valid:
+            sums[-1] = t["__end"][0].as_py()
+        return t.append_column("__s", pa.array(sums, pa.float64()))
+
+    if total > span:
+        nodes = spans.select(*by, "__c", "__p", "__first", "__v").groupBy(*by, "__c").applyInArrow(node, f"{keys}, __c long, __first long, __whole boolean, __sum double")
+        tops = nodes.groupBy(*by).applyInArrow(over, f"{keys}, __c long, __start double, __end double")
+        tops = tops.select(*[F.col(c).alias(f"__k_{c}") for c in by], F.col("__c").alias("__kc"), "__start", "__end")
+        spans = spans.join(tops, [*[F.col(f"__k_{c}").eqNullSafe(F.col(c)) for c in by], F.col("__c") == F.col("__kc")]).select(*spans.columns, "__start", "__end")
+    else:
+        spans = spans.select("*", F.lit(0.0).alias("__start"), F.lit(None).cast("double").alias("__end"))
+    return spans.groupBy(*by, "__c").applyInArrow(rows, StructType([*spans.schema.fields, StructField("__s", DoubleType())]))
+
+
+def smoothed_rows(df: DataFrame, by: list[str], order: str, value: str, size: int = 20, block_rows: int = 200_000, tree: Column | None = None, span: int = SPAN) -> DataFrame:
     """The rows with ``median``, ``avg`` (of the last ``size`` values of their group) and ``global_avg`` (AG32, W4), however large a group is.
 
     Rows are cut into blocks of about ``block_rows`` by the range of ``order``, a number. The last
     ``size`` - 1 values of the blocks before, at most as many blocks, are carried into each block of
-    a group, as are count and sum of all before; every window then lies within one block. Ties of
+    a group, as are the counts of all before; every window then lies within one block. Ties of
     ``order`` must not occur within a group; null values take no part in median and means.
+
+    The sums of ``global_avg`` are added in a fixed order, that of ``tree_sums``, so no bit depends on blocks or
+    partitions. Each group has a tree of its own, or groups of equal ``tree``, in the order of ``by``, share one.
     """
     total = df.count()
     blocks = max(1, -(-total // block_rows))
@@ -130,22 +199,24 @@ def smoothed_rows(df: DataFrame, by: list[str], order: str, value: str, size: in
     keep = size - 1
     last = Window.partitionBy(*by, "__b").orderBy(F.col(order).desc())
     tails = cut_.withColumn("__r", F.row_number().over(last)).where(F.col("__r") <= keep).groupBy(*by, "__b").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias("__t"))
-    sums = cut_.groupBy(*by, "__b").agg(F.count(value).alias("__n"), F.sum(value).alias("__s"))
+    sums = cut_.groupBy(*by, "__b").agg(F.count(value).alias("__n"), F.count(F.lit(1)).alias("__rows"))
     before = Window.partitionBy(*by).orderBy("__b")
     some, all_ = before.rowsBetween(-keep, -1), before.rowsBetween(Window.unboundedPreceding, -1)
+    shared = all_ if tree is None else Window.partitionBy(tree).orderBy(*by, "__b").rowsBetween(Window.unboundedPreceding, -1)
     null_safe = [F.col(f"__k_{c}").eqNullSafe(F.col(c)) for c in by]
-    one = tails.join(sums.select(*[F.col(c).alias(f"__k_{c}") for c in by], F.col("__b").alias("__kb"), "__n", "__s"), [*null_safe, F.col("__b") == F.col("__kb")]).select(*by, "__b", "__t", "__n", "__s")
-    carried = one.select(*by, "__b", F.flatten(F.collect_list("__t").over(some)).alias("__c"), F.coalesce(F.sum("__n").over(all_), F.lit(0)).alias("__pn"), F.coalesce(F.sum("__s").over(all_), F.lit(0.0)).alias("__ps"))
-    head = carried.select(*[F.col(c).alias(f"__k_{c}") for c in by], F.col("__b").alias("__kb"), F.when(F.size("__c") > keep, F.slice("__c", -keep, keep)).otherwise(F.col("__c")).alias("__c"), "__pn", "__ps")
+    one = tails.join(sums.select(*[F.col(c).alias(f"__k_{c}") for c in by], F.col("__b").alias("__kb"), "__n", "__rows"), [*null_safe, F.col("__b") == F.col("__kb")]).select(*by, "__b", "__t", "__n", "__rows")
+    upto = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    carried = one.select(*by, "__b", F.flatten(F.collect_list("__t").over(some)).alias("__c"), upto("__n", all_).alias("__pn"), upto("__rows", all_).alias("__pr"), upto("__rows", shared).alias("__pt"))
+    head = carried.select(*[F.col(c).alias(f"__k_{c}") for c in by], F.col("__b").alias("__kb"), F.when(F.size("__c") > keep, F.slice("__c", -keep, keep)).otherwise(F.col("__c")).alias("__c"), "__pn", "__pt", (F.col("__pt") - F.col("__pr")).alias("__first"))
     own = cut_.select("*", F.lit(True).alias("__own"), F.col(value).alias("__v"), F.col(order).alias("__o"))
     earlier = head.select(*[F.col(f"__k_{c}").alias(c) for c in by], F.col("__kb").alias("__b"), F.explode("__c").alias("x")).select(*by, "__b", F.lit(False).alias("__own"), F.col("x.v").alias("__v"), F.col("x.o").alias("__o"))
     frame = Window.partitionBy(*by, "__b").orderBy("__o")
     window = frame.rowsBetween(-keep, 0)
-    mine = F.when(F.col("__own"), F.col("__v"))
     inside = frame.rowsBetween(Window.unboundedPreceding, 0)
-    done = own.unionByName(earlier, allowMissingColumns=True).select("*", F.percentile("__v", F.lit(0.5)).over(window).alias("median"), F.avg("__v").over(window).alias("avg"), F.count(mine).over(inside).alias("__cn"), F.sum(mine).over(inside).alias("__cs")).where("__own")
+    done = own.unionByName(earlier, allowMissingColumns=True).select("*", F.percentile("__v", F.lit(0.5)).over(window).alias("median"), F.avg("__v").over(window).alias("avg"), F.count(F.when(F.col("__own"), F.col("__v"))).over(inside).alias("__cn"), F.count_if("__own").over(inside).alias("__cr")).where("__own")
     joined = done.join(head.drop("__c"), [*null_safe, F.col("__b") == F.col("__kb")])
-    return joined.withColumn("global_avg", ratio(F.coalesce("__cs", F.lit(0.0)) + F.col("__ps"), F.col("__cn") + F.col("__pn"))).select(*df.columns, "median", "avg", "global_avg")
+    placed = joined.select(*df.columns, "median", "avg", F.col("__v").cast("double").alias("__v"), (F.col("__cn") + F.col("__pn")).alias("__n"), (F.col("__pt") + F.col("__cr") - 1).alias("__p"), "__first")
+    return _with_tree_sums(placed, by, total, span).withColumn("global_avg", ratio(F.col("__s"), F.col("__n"))).select(*df.columns, "median", "avg", "global_avg")
 
 
 def average_precision(matches: DataFrame, truths: DataFrame, by: list[str], score: str, hit: str) -> DataFrame:
