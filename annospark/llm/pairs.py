@@ -35,11 +35,12 @@ sample count once; of several defects the one furthest beyond its threshold is
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
-from itertools import chain
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -118,6 +119,8 @@ _TAG = re.compile(r"<[^<>]*>")
 _ASKED = {w: code for code, words in LANGUAGE_NAMES.items() for w in words}
 _QUOTED = re.compile(r"[\"“«„][^\"”»“]*[\"”»“]")
 _LETTER = re.compile(r"\w")
+_PAIRED = re.compile(r"[()<\"“”«»]")
+_WHOLE = (False,) * 7
 _OPENS = re.compile(r"[\"“«„]")
 _LID_BITS, _WORD_BITS, _FINAL_BITS = 1 << 14, 1 << 15, 1 << 20
 #: Where absent features point: a weight that stays 0.
@@ -137,13 +140,18 @@ def rounds(samples: DataFrame) -> DataFrame:
 
 
 def _plain(text: str) -> str:
-    return _SPECIAL.sub(" ", text)
+    return _SPECIAL.sub(" ", text) if "<" in text or ":" in text or "：" in text else text
 
 
 def _words(text: str) -> list[str]:
+    """The words of one text; ``Words`` splits many at once into the same."""
     return _WORD.findall((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
 
 
+def _bare(text: str) -> str:
+    return _TAG.sub(" ", text) if "<" in text else text
+
+
 def _bins(x: np.ndarray, edges: tuple[float, ...]) -> np.ndarray:
     """How many of the edges each value reaches."""
     return np.searchsorted(np.asarray(edges, float), np.asarray(x, float), side="right")
@@ -176,6 +184,11 @@ class Ragged:
         of = np.repeat(np.arange(len(rows)), n)
         return self.flat[np.repeat(self.first[rows] - np.cumsum(n) + n, n) + np.arange(len(of))], of
 
+    def part(self, i: int, j: int) -> Ragged:
+        """Rows ``i`` to ``j``."""
+        first = int(self.n[:i].sum())
+        return Ragged(self.flat[first : first + int(self.n[i:j].sum())], self.n[i:j])
+
     def sub(self, rows: np.ndarray) -> Ragged:
         return Ragged(self.take(rows)[0], self.n[rows])
 
@@ -201,39 +214,86 @@ def _parts(texts: list[str]) -> Iterator[range]:
         yield range(first, len(texts))
 
 
+def _split(texts: list[str]) -> Iterator[tuple[Words, list[str]]]:
+    """Texts without mark-up, split some at a time, and these texts."""
+    for at in _parts(texts):
+        some = [texts[i] for i in at]
+        yield Words([_bare(t) for t in some]), some
+
+
 def _quantile(counts: np.ndarray, q: float | np.ndarray) -> np.ndarray:
     """Slots that quantiles lie in, from counts per slot."""
     upto = np.cumsum(counts)
     return np.searchsorted(upto, np.floor(np.asarray(q) * (upto[-1] - 1)), side="right")
 
 
-class Vocabulary:
-    """Numbers of the words of one batch, with what is known of each word."""
-
-    def __init__(self) -> None:
-        self.number: dict[str, int] = {}
-
-    def rows(self, texts: list[list[str]]) -> Ragged:
-        number, flat = self.number, list(chain.from_iterable(texts))
-        for w in dict.fromkeys(flat):
-            number.setdefault(w, len(number))
-        return Ragged(np.fromiter(map(number.__getitem__, flat), np.int64, len(flat)), np.array([len(t) for t in texts], np.int64))
+@cache
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """Of every character: 1 in a word, 2 between two parts of one, else 0; and a random number."""
+    kind = np.strings.isalnum(np.arange(sys.maxunicode + 1, dtype=np.uint32).view("U1")).astype(np.uint8)
+    kind[[ord(c) for c in "’'-"]] = 2
+    return kind, np.random.default_rng(9).integers(0, 1 << 64, len(kind), np.uint64)
+
+
+@cache
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2 ** 64, 2 ** bits of them."""
+    base = 0x9E3779B97F4A7C15
+    up, down = (np.full(1 << bits, x, np.uint64) for x in (base, pow(base, -1, 1 << 64)))
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+class Words:
+    """The words (``_WORD``) of texts, split together: ``rows`` has their numbers, text by text, ``names`` the distinct ones in the order they occur."""
+
+    def __init__(self, texts: list[str]):
+        # a mark before and after each text keeps words apart
+        low = [f"\n{(t if t.isascii() else unicodedata.normalize('NFC', t)).lower()}\n" for t in texts]
+        joined = "".join(low)
+        c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = np.array([len(t) for t in low], np.int64)
+        kinds, numbers = _characters()
+        kind = kinds[c]
+        inside = kind == 1
+        inside[1:-1] |= (kind[1:-1] == 2) & inside[:-2] & inside[2:]
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        first, end = edges[::2], edges[1::2]
+        at = np.cumsum(size) - size
+        of = np.searchsorted(at, first, side="right") - 1
+        # the same word has the same 64 bits wherever it stands
+        up, down = _powers(max(10, len(c).bit_length()))
+        upto = np.cumsum(numbers[c] * up[: len(c)])
+        number, _ = pd.factorize((upto[end - 1] - upto[first - 1]) * down[first])
+        where = np.zeros(int(number.max(initial=-1)) + 1, np.int64)
+        where[number[::-1]] = np.arange(len(number))[::-1]
+        self.names = [joined[i:j] for i, j in zip(first[where].tolist(), end[where].tolist(), strict=True)]
+        self.rows = Ragged(number.astype(np.int64), np.bincount(of, minlength=len(texts)))
+        self._grams_of = c, inside, at, end, size
+
+    def __len__(self) -> int:
+        return len(self.rows.n)
 
     def hashes(self) -> np.ndarray:
-        return np.array([_crc(w) for w in self.number], np.int64)
+        return np.array([_crc(w) for w in self.names], np.int64)
 
+    def grams(self) -> Ragged:
+        """Hashed letter trigrams of the words, with one blank before, between and behind them."""
+        c, inside, at, end, size = self._grams_of
+        kept = inside.copy()
+        kept[at] = kept[end] = True
+        row = np.repeat(np.arange(len(size), dtype=np.int32), size)[kept]
+        c = np.where(inside, c, np.uint32(ord(" ")))[kept]
+        if len(c) < 3:
+            return Ragged(np.zeros(0, np.int64), np.zeros(len(size), np.int64))
+        with np.errstate(over="ignore"):
+            h = (c[:-2] * np.uint32(0x9E3779B1) + c[1:-1]) * np.uint32(0x85EBCA77) + c[2:]
+        same = row[:-2] == row[2:]
+        return Ragged(((h >> np.uint32(7)) % np.uint32(_LID_BITS))[same].astype(np.int64), np.bincount(row[:-2][same], minlength=len(size)))
 
-def _grams(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed letter trigrams of words, and the text of each."""
-    joined = [f" {' '.join(t)} " for t in texts]
-    c = np.frombuffer("".join(joined).encode("utf-32-le", "surrogatepass"), np.uint32)
-    row = np.repeat(np.arange(len(joined), dtype=np.int32), [len(t) for t in joined])
-    if len(c) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    with np.errstate(over="ignore"):
-        h = (c[:-2] * np.uint32(0x9E3779B1) + c[1:-1]) * np.uint32(0x85EBCA77) + c[2:]
-    inside = row[:-2] == row[2:]
-    return ((h >> np.uint32(7)) % np.uint32(_LID_BITS))[inside].astype(np.int64), row[:-2][inside].astype(np.int64)
+
+#: Trigrams of texts and the text of each, words by their slots and the text of each, and how many texts there are.
+Split = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]
 
 
 class Languages:
@@ -246,17 +306,14 @@ class Languages:
         self.typical = np.zeros(max(1, len(names)))
         counts = np.zeros((max(1, len(names)), self.SLOTS)) if counts is None else counts
         grams, words = counts[:, :_LID_BITS] + 0.05, counts[:, _LID_BITS:] + 0.02
-        self.grams, self.words = (np.log(x / x.sum(1, keepdims=True)).astype(np.float32) for x in (grams, words))
+        self.grams, self.words = (np.log(x / x.sum(1, keepdims=True)).astype(np.float32).astype(float) for x in (grams, words))
 
     @staticmethod
-    def split(texts: list[list[str]]) -> tuple[np.ndarray, ...]:
-        """Trigrams and the text of each, words and the text of each, and how many texts there are."""
-        g, row = _grams(texts)
-        v = Vocabulary()
-        rows = v.rows(texts)
-        return g, row, v.hashes()[rows.flat] % _WORD_BITS if len(rows.flat) else rows.flat, np.repeat(np.arange(len(texts)), rows.n), len(texts)
-
-    def counted(self, lang: np.ndarray, split: tuple[np.ndarray, ...], weight: np.ndarray) -> np.ndarray:
+    def split(words: Words) -> Split:
+        g, rows, each = words.grams(), words.rows, np.arange(len(words))
+        return g.flat, np.repeat(each, g.n), (words.hashes() % _WORD_BITS)[rows.flat], np.repeat(each, rows.n), len(words)
+
+    def counted(self, lang: np.ndarray, split: Split, weight: np.ndarray) -> np.ndarray:
         """Counts of texts of known languages, each as often as ``weight`` says."""
         k, (g, row, slot, of, _) = max(1, len(self.names)), split
         grams = np.bincount(lang[row] * _LID_BITS + g, weight[row], k * _LID_BITS).reshape(k, -1)
@@ -268,38 +325,28 @@ class Languages:
         total = np.zeros((max(1, len(self.names)), self.SLOTS), np.int64)
         number = {c: i for i, c in enumerate(self.names)}
         for at in _parts(texts):
-            known = [(number[labels[i]], _words(_TAG.sub(" ", texts[i]))) for i in at if labels[i] in number]
-            lang, split = np.array([k for k, w in known if w], np.int64), self.split([w for _, w in known if w])
+            known = [i for i in at if labels[i] in number]
+            lang, split = np.array([number[labels[i]] for i in known], np.int64), self.split(Words([_bare(texts[i]) for i in known]))
             total += self.counted(lang, split, (self._sums(split)[3].argmax(1) == lang).astype(float) if checked else np.ones(len(lang)))
         return total
 
-    def own(self, texts: Counter[str]) -> Iterator[tuple[list[list[str]], np.ndarray]]:
-        """Words of the distinct texts that have any, and how often each occurs."""
-        distinct = list(texts)
-        for at in _parts(distinct):
-            some = [(w, texts[distinct[i]]) for i in at if (w := _words(_TAG.sub(" ", distinct[i])))]
-            if some:
-                yield [w for w, _ in some], np.array([n for _, n in some], float)
-
-    def sure(self, texts: Counter[str]) -> np.ndarray:
-        """Counts of the texts whose language is beyond doubt."""
-        total = np.zeros((max(1, len(self.names)), self.SLOTS), np.int64)
-        if len(self.names) > 1:
-            for words, n in self.own(texts):
-                split = self.split(words)
-                score = self._sums(split)[3]
-                top = np.sort(score, axis=1)
-                total += self.counted(score.argmax(1), split, n * (top[:, -1] - top[:, -2] > 4))
-        return total
+    def sure(self, words: Words, split: Split, n: np.ndarray) -> np.ndarray:
+        """Counts of the texts whose language is beyond doubt, each ``n`` times."""
+        if len(self.names) < 2:
+            return np.zeros((max(1, len(self.names)), self.SLOTS), np.int64)
+        score = self._sums(split)[3]
+        top = np.sort(score, axis=1)
+        return self.counted(score.argmax(1), split, n * ((top[:, -1] - top[:, -2] > 4) & (words.rows.n > 0)))
 
     def fits(self, texts: Counter[str]) -> np.ndarray:
         """How often each fit occurs: per language among its own texts of some length, and among all texts."""
         k = max(1, len(self.names))
         total = np.zeros((2, k, FIT_STEPS * FIT_REACH), np.int64)
-        for words, n in self.own(texts):
+        for words, at in _split(list(texts)):
+            n = np.array([texts[t] for t in at], float) * (words.rows.n > 0)
             gram, _, grams, score = self._sums(self.split(words))
             best, step = score.argmax(1), np.clip((gram / np.maximum(1, grams)[:, None] + FIT_REACH) * FIT_STEPS, 0, FIT_STEPS * FIT_REACH - 1).astype(np.int64)
-            long = np.array([len(w) > 3 for w in words])
+            long = words.rows.n > 3
             for j in range(k):
                 mine = long & (best == j)
                 total[0, j] += np.bincount(step[mine, j], n[mine], total.shape[2]).astype(np.int64)
@@ -313,15 +360,15 @@ class Languages:
             if counts.any():
                 self.typical[j] = (_quantile(counts, 0.5) + 0.5) / FIT_STEPS - FIT_REACH
 
-    def _sums(self, split: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def _sums(self, split: Split) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Log probability of each text per language by its trigrams and by its words, its trigrams, and the log probability by both, up to a constant."""
         g, row, slot, of, n = split
-        by_gram = np.stack([np.bincount(row, lp.astype(float)[g], n) for lp in self.grams], axis=1)
-        by_word = np.stack([np.bincount(of, lp.astype(float)[slot], n) for lp in self.words], axis=1)
+        by_gram = np.stack([np.bincount(row, lp[g], n) for lp in self.grams], axis=1)
+        by_word = np.stack([np.bincount(of, lp[slot], n) for lp in self.words], axis=1)
         return by_gram, by_word, np.bincount(row, minlength=n), by_gram + by_word
 
     def scores(self, texts: list[list[str]]) -> np.ndarray:
-        return self._sums(self.split(texts))[3]
+        return self._sums(self.split(Words([" ".join(t) for t in texts])))[3]
 
 
 _ENDS = ".!?…。"
@@ -337,9 +384,6 @@ class Features:
         #: How often each word, by its hash, ends a sound answer, in steps; 0 for words not met twice.
         self.final = np.where(last + other > 1, steps, 0).astype(np.int8)
 
-    def _finality(self, vocabulary: Vocabulary) -> np.ndarray:
-        return self.final[vocabulary.hashes() % _FINAL_BITS].astype(np.int64)
-
     def of(self, questions: list[str], answers: list[str | None], hidden: np.ndarray | None = None) -> list[Ragged]:
         """Features of every round per defect; ``hidden``: number of a language that takes no part, per round, or -1."""
         q_number, a_number = {}, {}
@@ -349,15 +393,19 @@ class Features:
         # each distinct text is split once
         texts = [_plain(a).strip() for a in a_number]
         tagless = [_TAG.sub(" ", t) if "<" in t else t for t in texts]
-        q_words = [_words(_TAG.sub(" ", _plain(q))) for q in q_number]
-        a_words = [_words(t) for t in tagless]
-        v = Vocabulary()
-        qs, as_ = v.rows(q_words), v.rows(a_words)
-        size = max(1, len(v.number))
-        word = v.hashes() if v.number else np.zeros(1, np.int64)
-        finality = self._finality(v) if v.number else np.zeros(1, np.int64)
+        # quoted text may be in any language
+        quoting = [i for i, t in enumerate(tagless) if _OPENS.search(t)]
+        words = Words([_bare(_plain(q)) for q in q_number] + tagless + [_QUOTED.sub(" ", tagless[i]) for i in quoting])
+        nq, na = len(q_number), len(a_number)
+        qs, as_ = words.rows.part(0, nq), words.rows.part(nq, nq + na)
+        size = max(1, len(words.names))
+        word = words.hashes() if words.names else np.zeros(1, np.int64)
+        finality = self.final[word % _FINAL_BITS].astype(np.int64) if words.names else np.zeros(1, np.int64)
+        # the text of an answer that its language is read from, none where it is one word
+        own = np.arange(nq, nq + na)
+        own[quoting] = np.arange(nq + na, len(words))
+        own[as_.n < 2] = -1
         n, qn = as_.n[a_row], qs.n[q_row]
-        marks = np.array([t.count("<") if "<" in t else 0 for t in texts], np.int64)
         tags = np.array([len(_TAG.findall(t)) if "<" in t else 0 for t in texts], np.int64)[a_row]
         letters = np.array([bool(_LETTER.search(t)) for t in texts], np.int64)[a_row]
 
@@ -387,16 +435,16 @@ class Features:
             _mix("len", _bins(n / np.maximum(1, qn), (0.3, 0.6, 0.8, 0.95, 1.05, 1.5))), _mix("more", np.minimum(tags, 2) > q_marks),
         ]
 
-        language = self._language(v, qs, q_words, q_row, tagless, a_words, a_row, n, hidden)
+        language = self._language(words, word, qs, q_row, own[a_row], n, hidden)
 
         ends = [t[-1:] for t in texts]
         kind_of = {c: "." for c in _ENDS} | {c: "q" for c in "\"”»’'"} | {c: ")" for c in ")]"} | {">": ">"}
         kinds = [kind_of.get(e, "w" if e.isalnum() else e) for e in ends]
-        kind = np.array([_crc(k) for k in kinds], np.int64)[a_row]
-        stops = np.array([_crc("." if k in (".", ")", "q") else k) for k in kinds], np.int64)[a_row]
-        two = np.array([_crc(t[-2:]) if k not in (".", "w", "") else _crc(k) for t, k in zip(texts, kinds, strict=True)], np.int64)[a_row]
-        tails = [t.rsplit("<", 1)[-1] if m else "" for t, m in zip(texts, marks.tolist(), strict=True)]
-        broken = np.array([(t.count("(") != t.count(")"), m > 0 and ">" not in tail, t.count("<Phrase>") != t.count("</Phrase>"), t.count("<Unit>") != t.count("</Unit>"), t.count('"') % 2 == 1, t.count("“") != t.count("”"), t.count("«") != t.count("»")) for t, m, tail in zip(texts, marks.tolist(), tails, strict=True)], np.int64).reshape(len(texts), 7)[a_row]
+        hashed = {k: _crc(k) for k in {".", *kinds}}
+        kind = np.array([hashed[k] for k in kinds], np.int64)[a_row]
+        stops = np.array([hashed["." if k in (".", ")", "q") else k] for k in kinds], np.int64)[a_row]
+        two = np.array([_crc(t[-2:]) if k not in (".", "w", "") else hashed[k] for t, k in zip(texts, kinds, strict=True)], np.int64)[a_row]
+        broken = np.array([self._broken(t) if _PAIRED.search(t) else _WHOLE for t in texts], np.int64).reshape(len(texts), 7)[a_row]
         start = _crc("^")
         value = lambda r, k, end: (lambda x, y: (np.where(y, word[x], start), np.where(y, finality[x], 0), x, y))(*(r.from_end(k) if end else r.at(k)))
         last, last_f, last_id, some = (x[a_row] for x in value(as_, 1, True))
@@ -419,6 +467,11 @@ class Features:
         grid = lambda columns: Ragged(np.stack(columns, axis=1).ravel(), np.full(rows, len(columns)))
         return [grid(empty), refusal, grid(copied), grid(language), grid(truncated)]
 
+    @staticmethod
+    def _broken(t: str) -> tuple[bool, ...]:
+        """Marks of a text that lack the other of their pair."""
+        return (t.count("(") != t.count(")"), "<" in t and ">" not in t.rsplit("<", 1)[-1], t.count("<Phrase>") != t.count("</Phrase>"), t.count("<Unit>") != t.count("</Unit>"), t.count('"') % 2 == 1, t.count("“") != t.count("”"), t.count("«") != t.count("»"))
+
     @staticmethod
     def _ngrams(words: Ragged, word: np.ndarray, a_row: np.ndarray, fixed: np.ndarray) -> Ragged:
         """One to three words in a row, begin and end counted as words, and the fixed features."""
@@ -442,13 +495,13 @@ class Features:
         order = np.argsort(rows, kind="stable")
         return Ragged(np.concatenate([mine, fixed.ravel()])[order], grams.n[a_row] + fixed.shape[1])
 
-    def _language(self, vocabulary: Vocabulary, qs: Ragged, q_words: list[list[str]], q_row: np.ndarray, tagless: list[str], a_words: list[list[str]], a_row: np.ndarray, n: np.ndarray, hidden: np.ndarray | None) -> list[np.ndarray]:
+    def _language(self, words: Words, word: np.ndarray, qs: Ragged, q_row: np.ndarray, own: np.ndarray, n: np.ndarray, hidden: np.ndarray | None) -> list[np.ndarray]:
         lid = self.languages
-        # quoted text may be in any language
-        own = [_words(_QUOTED.sub(" ", t)) if len(w) > 1 and _OPENS.search(t) else w if len(w) > 1 else [] for t, w in zip(tagless, a_words, strict=True)]
-        q_score = lid.scores(q_words)[q_row]
-        gram, by_word, grams, score = (x[a_row] for x in lid._sums(lid.split(own)))
-        rows = np.arange(len(a_row))
+        g, flat, each = words.grams(), words.rows.flat, np.arange(len(words))
+        sums = lid._sums((g.flat, np.repeat(each, g.n), (word % _WORD_BITS)[flat], np.repeat(each, words.rows.n), len(words)))
+        q_score = sums[3][q_row]
+        gram, by_word, grams, score = (np.where((own >= 0).reshape(-1, *[1] * (x.ndim - 1)), x[own], 0) for x in sums)
+        rows = np.arange(len(own))
         q_lang = q_score.argmax(1)
         if hidden is not None and len(lid.names) > 1:
             masked = np.flatnonzero(hidden >= 0)
@@ -462,7 +515,7 @@ class Features:
         misfit = np.where(grams > 0, lid.typical[q_lang] - gram[rows, q_lang] / np.maximum(1, grams), 0.0)
         codes = lid.names or [""]
         # 0: no language; 1: one without a model, which may look like any of the others; from 2: the languages
-        code = np.array([0 if (c := _ASKED.get(w)) is None else 2 + codes.index(c) if c in codes else 1 for w in vocabulary.number], np.int64)
+        code = np.array([0 if (c := _ASKED.get(w)) is None else 2 + codes.index(c) if c in codes else 1 for w in words.names], np.int64)
         of = np.repeat(np.arange(len(qs.n)), qs.n)
         named = np.zeros((len(qs.n), 2 + len(codes)), bool)
         if len(qs.flat):
@@ -480,19 +533,33 @@ class Features:
         ]
 
 
-def _finals(answers: Counter[str]) -> np.ndarray:
-    """How often each word, by its hash, is the last of an answer that ends in a full stop, and how often it is not (2 x slots)."""
-    last, other = Counter(), Counter()
-    for a, times in answers.items():
-        w = _words(_TAG.sub(" ", a))
-        if len(w) > 2:
-            for x in w[:-1]:
-                other[x] += times
-            if a.rstrip()[-1:] in ".!?":
-                last[w[-1]] += times
-    return np.stack([np.bincount(np.array([_crc(w) % _FINAL_BITS for w in c], np.int64), np.array(list(c.values()), float), _FINAL_BITS).astype(np.int64) for c in (last, other)])
-
-
+def _finals(answers: Counter[str], split: tuple[Words, list[str]] | None = None) -> np.ndarray:
+    """How often each word, by its hash, is the last of an answer that ends in a full stop, and how often it is not (2 x slots); ``split``: some of the texts, if they are split already."""
+    if split is None:
+        return sum((_finals(answers, part) for part in _split(list(answers))), np.zeros((2, _FINAL_BITS), np.int64))
+    words, texts = split
+    rows, n = words.rows, np.array([answers[t] for t in texts], float)
+    ends = np.array([t.rstrip()[-1:] in (".", "!", "?") for t in texts], float)
+    slot = (words.hashes() % _FINAL_BITS)[rows.flat]
+    n = n * (rows.n > 2)
+    last = np.zeros(len(slot), bool)
+    last[(rows.first + rows.n - 1)[rows.n > 0]] = True
+    times = np.repeat(n, rows.n)
+    return np.stack([np.bincount(slot[last], (times * np.repeat(ends, rows.n))[last], _FINAL_BITS), np.bincount(slot[~last], times[~last], _FINAL_BITS)]).astype(np.int64)
+
+
+def _counted(lid: Languages, questions: list[str], answers: list[str | None]) -> np.ndarray:
+    """Counts of texts of sure languages, of final words, and of rounds."""
+    said, answered = _said(questions, answers), Counter(a for a in answers if a)
+    sure, finals = np.zeros((max(1, len(lid.names)), lid.SLOTS), np.int64), np.zeros((2, _FINAL_BITS), np.int64)
+    for words, at in _split(list(said)):
+        split = lid.split(words)
+        sure += lid.sure(words, split, np.array([said[t] for t in at], float))
+        finals += _finals(answered, (words, at))
+    return np.concatenate([sure.ravel(), finals.ravel(), [len(questions)]])
+
+
+@cache
 def _phrases(bodies: tuple[str, ...], part: int, held: bool) -> tuple[str, ...]:
     """The phrases to learn from, or those held out to test on: every fourth, from ``part``; all where ``part`` is negative."""
     return tuple(b for i, b in enumerate(bodies) if part < 0 or (i % 4 == part % 4) == held)
@@ -566,37 +633,46 @@ class _Model:
 
     def fit(self, rows: Ragged, use: np.ndarray, y: np.ndarray, rng: np.random.Generator, epochs: int) -> None:
         weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())) * len(y)
-        # only the features that occur, numbered anew
-        flat, _ = rows.take(use)
-        seen, number = np.unique(flat, return_inverse=True)
-        mine, none = Ragged(number, rows.n[use]), np.flatnonzero(seen == _NONE)
-        width = int(mine.n[0]) if (mine.n == mine.n[0]).all() else 0
-        grid = number.reshape(-1, width) if width else number
-        w, h, hb, self.b = np.zeros(len(seen)), np.full(len(seen), 1e-6), 1e-6, 0.0
-        mean, bias, counted = np.zeros(len(seen)), 0.0, 0
+        # features of the same rows have the same weight throughout: one stands for all
+        flat, of = rows.take(use)
+        there = flat != _NONE
+        of, (number, seen) = of[there], pd.factorize(flat[there])
+        same = np.zeros(len(seen), np.uint64)
+        np.add.at(same, number, np.random.default_rng(11).integers(0, 1 << 64, len(use), np.uint64)[of])
+        group, _ = pd.factorize(same)
+        size = np.bincount(group).astype(float)
+        first = np.zeros(len(seen), bool)
+        first[np.unique(group, return_index=True)[1]] = True
+        first = first[number]
+        mine = Ragged(group[number[first]], np.bincount(of[first], minlength=len(use)))
+        w, h, hb, self.b = np.zeros(len(size)), np.full(len(size), 1e-6), 1e-6, 0.0
+        mean, bias, counted = np.zeros(len(size)), 0.0, 0
+        ends = np.cumsum([len(x) for x in np.array_split(np.arange(len(use)), max(1, len(use) // 256))]).tolist()
         for epoch in range(epochs):
-            for part in np.array_split(rng.permutation(len(use)), max(1, len(use) // 256)):
-                if width:
-                    index = grid[part]
-                    z = w[index].sum(1) + self.b
-                else:
-                    index, of = mine.take(part)
-                    z = np.bincount(of, w[index], len(part)) + self.b
-                g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) * weight[part] / len(part)
-                gw = np.bincount(index.ravel(), np.repeat(g, width) if width else g[of], len(seen))
-                gw[none] = 0
-                some = np.flatnonzero(gw)
-                gw = gw[some] + DECAY * w[some]
-                h[some] += gw * gw
-                w[some] -= RATE * gw / np.sqrt(h[some])
+            order = rng.permutation(len(use))
+            index, row = mine.take(order)
+            many, at = size[index], np.r_[0, np.cumsum(mine.n[order])]
+            wanted, weights = y[order], weight[order]
+            for i, j in zip([0, *ends], ends, strict=False):
+                part = slice(at[i], at[j])
+                some, of = index[part], row[part] - i
+                z = np.bincount(of, w[some] * many[part], j - i) + self.b
+                g = (1 / (1 + np.exp(-np.minimum(np.maximum(z, -30), 30))) - wanted[i:j]) * weights[i:j] / (j - i)
+                gw = np.bincount(some, g[of], len(size))
+                some = np.flatnonzero(gw != 0)
+                before = w[some]
+                gw = gw[some] + DECAY * before
+                squares = h[some] + gw * gw
+                h[some], w[some] = squares, before - RATE * gw / np.sqrt(squares)
                 hb += g.sum() ** 2
                 self.b -= RATE * g.sum() / np.sqrt(hb)
                 # the mean over the steps of the last half varies less than where they end
                 if epoch >= epochs // 2 and counted % 8 == 0:
-                    mean, bias = mean + w, bias + self.b
+                    mean += w
+                    bias += self.b
                 counted += epoch >= epochs // 2
         steps = max(1, -(-counted // 8))
-        self.w[seen], self.b = (mean / steps).astype(np.float32), bias / steps
+        self.w[seen], self.b = (mean / steps)[group].astype(np.float32), bias / steps
 
     @classmethod
     def mean(cls, sums: np.ndarray) -> _Model | None:
@@ -663,8 +739,14 @@ class _Block:
             # of every third round another one of its side, whose answer may take the place of its own
             others = np.array([usable[i % 2][int(rng.integers(len(usable[i % 2])))] if i // 2 % 3 == 1 else i for i in mine.tolist()], np.int64)
             need, at = np.unique(np.concatenate([mine, others]), return_inverse=True)
-            q_words, a_words = ([_words(_TAG.sub(" ", _plain(pairs[i][side] or ""))) for i in need] for side in (0, 1))
-            lang, alang = lid.scores(q_words).argmax(1), lid.scores(a_words).argmax(1)
+            asked, said = (Words([_bare(_plain(pairs[i][side] or "")) for i in need]) for side in (0, 1))
+            lang, alang = (lid._sums(lid.split(w))[3].argmax(1) for w in (asked, said))
+            # of each question, how many words it has and the languages that it names
+            q_n, a_n, codes = asked.rows.n, said.rows.n, [_ASKED.get(w) for w in asked.names]
+            some = np.flatnonzero(np.array([c is not None for c in codes], bool)[asked.rows.flat])
+            named: dict[int, set[str]] = defaultdict(set)
+            for x, w in zip((np.searchsorted(asked.rows.first + q_n, some, side="right")).tolist(), asked.rows.flat[some].tolist(), strict=True):
+                named[x].add(codes[w])
             for i, j, x, y in zip(mine.tolist(), others.tolist(), at[: len(mine)].tolist(), at[len(mine) :].tolist(), strict=True):
                 q, a = pairs[i]
                 made_of: dict[str, str | None] = {}
@@ -673,10 +755,10 @@ class _Block:
                     made_of["empty"] = BLANKS[int(rng.integers(len(BLANKS)))]
                     made_of["refusal"] = _refuse(rng, lid.names[lang[x]] if lid.names else "en", 2 * (i % 2), held)
                 elif kind == 1:
-                    if len(q_words[x]) > 2:
+                    if q_n[x] > 2:
                         made_of["copied"] = _copy(rng, q)
-                    names = {_ASKED[w] for w in q_words[x] if w in _ASKED}
-                    if len(lid.names) > 1 and len(a_words[y]) > 3 and lang[y] == alang[y] != lang[x] and lid.names[alang[y]] not in names:
+                    names = named.get(x, ())
+                    if len(lid.names) > 1 and a_n[y] > 3 and lang[y] == alang[y] != lang[x] and lid.names[alang[y]] not in names:
                         made_of["language"] = pairs[j][1]
                 made_of["truncated"] = _cut(rng, a) if kind else None
                 for name, text in made_of.items():
@@ -861,7 +943,7 @@ class Detector:
             for checked in (False, True):
                 counts = source.labelled(lambda texts, labels, lid=lid, checked=checked: lid.labelled(texts, labels, checked), k * slots).reshape(k, slots)
                 lid = Languages(lid.names, counts)
-        got = source.rounds(lambda qs, as_, lid=lid: np.concatenate([lid.sure(_said(qs, as_)).ravel(), _finals(Counter(a for a in as_ if a)).ravel(), [len(qs)]]), k * slots + 2 * _FINAL_BITS + 1)
+        got = source.rounds(lambda qs, as_, lid=lid: _counted(lid, qs, as_), k * slots + 2 * _FINAL_BITS + 1)
         source.n_blocks = source.blocks_of(int(got[-1]))
         if lid.names:
             lid = Languages(lid.names, counts + got[: k * slots].reshape(k, slots))

@@ -121,3 +121,46 @@ def test_all_rounds_and_texts_take_part_however_they_lie(spark, monkeypatch):
     assert found[0].predict(["What is the colour of the cat?"] * 2, ["The cat in the yard is mostly green and old.", "-"]) == [None, "empty"]
     # four blocks: their models are not those of one
     assert not np.array_equal(found[0].models[4].w, P.Detector([(r[1][0][1], r[1][1][1]) for r in rows], P.labelled_texts(texts)).models[4].w)
+
+
+def test_words_split_together_are_those_of_each_text():
+    rng = np.random.default_rng(3)
+    letters = list("aaabcxyzÀéÉßİΣσςЖжé中١²ⅷ_-–'’\"“.,!?  \n\t<>\xa0\u200b😀") + ["e\u0301", "\ud800", "naïve-Word", "d’Été"]
+    texts = ["", "-", "a", "\n", "x" * 5000, *("".join(rng.choice(letters, int(rng.integers(30)))) for _ in range(3000))]
+    split = P.Words(texts)
+    assert [[split.names[k] for k in split.rows.take(np.array([i]))[0]] for i in range(len(texts))] == [P._words(t) for t in texts]
+    assert len(set(split.names)) == len(split.names) and len(P.Words([]).names) == len(P.Words(["", "-"]).names) == 0
+    grams = split.grams()
+    for i, t in enumerate(texts):
+        assert grams.take(np.array([i]))[0].tolist() == P.Words([" ".join(P._words(t))]).grams().flat.tolist(), t
+
+
+def test_fit_is_that_of_every_feature_by_itself():
+    rng = np.random.default_rng(8)
+    n, d, lengths = 700, 40, rng.integers(0, 9, 700)
+    flat = rng.choice([P._NONE, *range(d)], int(lengths.sum()), p=[0.3, *np.full(d, 0.7 / d)])
+    # some features are in the same rows
+    flat = np.concatenate([flat.reshape(-1, 1), np.where(flat == 3, 1003, P._NONE).reshape(-1, 1), np.where(flat == 3, 2003, P._NONE).reshape(-1, 1)], axis=1).ravel()
+    rows, use = P.Ragged(flat, 3 * lengths), rng.permutation(n)[:600]
+    y = (rng.random(600) < 0.3).astype(float)
+    model = P._Model()
+    model.fit(rows, use, y, np.random.default_rng(2), 4)
+    x, again = np.zeros((600, 2004)), np.random.default_rng(2)
+    for i, r in enumerate(use):
+        for f in rows.take(np.array([r]))[0]:
+            if f != P._NONE:
+                x[i, f] += 1
+    weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y <= 0).sum()) * 600
+    w, h, b, hb, mean, bias, steps = np.zeros(2004), np.full(2004, 1e-6), 0.0, 1e-6, np.zeros(2004), 0.0, 0
+    for epoch in range(4):
+        for k, part in enumerate(np.array_split(again.permutation(600), 2)):
+            g = (1 / (1 + np.exp(-(x[part] @ w + b))) - y[part]) * weight[part] / len(part)
+            gw = x[part].T @ g
+            gw = np.where(gw != 0, gw + P.DECAY * w, 0)
+            h += gw * gw
+            w -= P.RATE * gw / np.sqrt(h)
+            hb += g.sum() ** 2
+            b -= P.RATE * g.sum() / np.sqrt(hb)
+            if epoch == 2 and k == 0:
+                mean, bias, steps = mean + w, bias + b, steps + 1
+    assert np.allclose(model.w[:2004], mean / steps, atol=1e-6) and abs(model.b - bias / steps) < 1e-6 and not model.w[P._NONE]
