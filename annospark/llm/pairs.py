@@ -23,7 +23,7 @@ itself, and every weight of the model is the mean over the blocks, in which a bl
 counts as often as the feature occurs in it. What the tasks send is of fixed size
 and whole-numbered, so no result depends on partitions; the models are a few
 hundred kilobytes. Every round is then scored, whole texts, in batches of flat
-arrays: only the splitting into words goes text by text.
+arrays, into which all texts of a batch are split at once.
 
 Defined results: samples without conversation and turns that are null are passed
 over (a null turn breaks adjacency); a round without a gpt turn directly after it
